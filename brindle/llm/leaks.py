@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import keep
-from .rolling import SLICE, Prefix, slices
+from .rolling import SLICE, Prefix, row_blocks, slices
 
 RUN, GRAM, MOST_ITEMS = 40, 20, 20_000
 MATCH, MISMATCH, GAP = 2, -1, 2
@@ -88,8 +88,8 @@ def passages(documents: DataFrame, known: np.ndarray, gram: int, margin: int) ->
         lookup = Lookup(shared.value)
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for low in range(0, batch.num_rows, 512):
-                codes, offsets = normal_texts(batch.column(1).slice(low, 512).to_pylist())
+            for low, block in row_blocks(batch.column(1)):
+                codes, offsets = normal_texts(block.to_pylist())
                 rows: list[tuple] = []
                 where, what, owner = [], [], []
                 for first, last, begin, end in slices(offsets, gram):

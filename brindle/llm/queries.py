@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..tables import table
-from . import conversations, leaks, quantiles, spans, splitting
+from . import conversations, leaks, neighbours, pairs, quantiles, spans, splitting
 from .sql import SQL  # noqa: F401
 
 MESSAGE = ("id", "conversation_id", "role", "content", "create_time", "deleted")
@@ -21,6 +20,10 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.pieces(table(spark, folder, "structured_document"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.defects(table(spark, folder, "t_message", *MESSAGE))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return quantiles.found(table(spark, folder, "t_rag_trace_run", "trace_id", "trace_name", "status", "start_time", "duration_ms", "deleted"))
 
@@ -32,6 +35,10 @@ def p5_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return quantiles.quantiles(quantiles.roll_up(days, ["trace_name"]), ["trace_name"], [5, 25, 50, 75, 95, 99])
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.found(table(spark, folder, "t_knowledge_vector", "id", "embedding"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.found(table(spark, folder, "t_message", *MESSAGE), table(spark, folder, "t_conversation", "conversation_id", "deleted"))
 
@@ -52,4 +59,4 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return spans.found(table(spark, folder, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p5_found, p5_percentiles, p7_found, p7_conversations, p9_found, p9_alignments, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p5_found, p5_percentiles, p6_found, p7_found, p7_conversations, p9_found, p9_alignments, p10_found)}

@@ -50,6 +50,19 @@ def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(bytes(raw).decode("utf-8").encode("utf-32-le"), dtype=np.uint32), offsets
 
 
+def row_blocks(column: pa.Array, most: int = 1 << 20):
+    """(first row, slice) of slices of whole rows of about ``most`` bytes of text each, so that what is computed
+    for a slice does not follow the size of the Arrow batch."""
+    if not len(column):
+        return
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    row = 0
+    while row < len(column):
+        stop = max(row + 1, int(np.searchsorted(ends, ends[row] + most, side="right")) - 1)
+        yield row, column.slice(row, stop - row)
+        row = stop
+
+
 class Prefix:
     """Prefix hashes of one slice; any sub-range hashes in constant time."""
 

@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import keep
-from .rolling import SLICE, Prefix, code_points, mix, runs, slices, sliding_min
+from .rolling import Prefix, code_points, mix, runs, slices, sliding_min
 
 SPAN, GRAM = 200, 100
-#: Cells of a row of the sketch: a power of two of at least the input's bytes over CELL_BYTES, up to MOST_CELLS (16 MB of bits a
-#: row are then broadcast; more anchors than that only let more through to the exact pass).
-ROWS, CELL_BYTES, LEAST_CELLS, MOST_CELLS = 2, 8, 1 << 16, 1 << 27
+#: Cells of a row of the sketch: a power of two of at least the input's stored bytes, up to MOST_CELLS (8 MB of bits a row are
+#: then broadcast; more anchors than that only let more through to the exact pass).
+ROWS, LEAST_CELLS, MOST_CELLS = 2, 1 << 16, 1 << 26
 
 
 def anchored(codes: np.ndarray, offsets: np.ndarray, span: int, gram: int):
@@ -59,7 +59,7 @@ def cells(anchors: np.ndarray, width: int) -> list[np.ndarray]:
 
 def width_of(documents: DataFrame) -> int:
     size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(MOST_CELLS, max(LEAST_CELLS, 1 << max(0, size // CELL_BYTES - 1).bit_length()))
+    return min(MOST_CELLS, max(LEAST_CELLS, 1 << max(0, size - 1).bit_length()))
 
 
 def repeated_cells(texts: DataFrame, width: int, span: int, gram: int) -> np.ndarray:
@@ -67,8 +67,8 @@ def repeated_cells(texts: DataFrame, width: int, span: int, gram: int) -> np.nda
 
     def fill(batches):
         counts: dict[int, np.ndarray] = {}
-        for batch in batches:
-            codes, offsets = code_points(batch.column(0))
+        for _, text in ((row, text) for batch in batches for row, text in row_blocks(batch.column(0))):
+            codes, offsets = code_points(text)
             for _, anchors, records, *_ in anchored(codes, offsets, span, gram):
                 order = np.lexsort((anchors, records))
                 anchors, records = anchors[order], records[order]
@@ -111,9 +111,9 @@ def repeated_runs(texts: DataFrame, bits: np.ndarray, width: int, span: int, gra
 
     def emit(batches):
         table, sent = shared.value, set()
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            codes, offsets = code_points(batch.column(1))
+        for names, row, text in ((batch.column(0), row, text) for batch in batches for row, text in row_blocks(batch.column(1))):
+            ids = names.slice(row, len(text)).to_numpy(zero_copy_only=False)
+            codes, offsets = code_points(text)
             for prefix, anchors, records, a, b, begin in anchored(codes, offsets, span, gram):
                 good = passing(anchors, table, width)
                 if not good.any():
