@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import keep
-from .rolling import Prefix, code_points, mix, runs, slices, sliding_min
+from .rolling import Prefix, code_points, mix, row_blocks, runs, slices, sliding_min
 
 SPAN, GRAM = 200, 100
 #: Cells of a row of the sketch: a power of two of at least the input's stored bytes, up to MOST_CELLS (8 MB of bits a row are
