@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
-from . import conversations, leaks, neighbours, pairs, quantiles, spans, splitting
+from . import conversations, leaks, neighbours, pairs, quantiles, spans, splitting, tokens
 from .sql import SQL  # noqa: F401
 
 MESSAGE = ("id", "conversation_id", "role", "content", "create_time", "deleted")
@@ -47,6 +47,10 @@ def p7_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.rebuilt(table(spark, folder, "t_message", *MESSAGE), table(spark, folder, "t_conversation", "conversation_id", "deleted"))
 
 
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encode(table(spark, folder, "documents", "doc_id", "text"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.found(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_item", "item_id", "text"))
 
@@ -59,4 +63,4 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return spans.found(table(spark, folder, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p5_found, p5_percentiles, p6_found, p7_found, p7_conversations, p9_found, p9_alignments, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p5_found, p5_percentiles, p6_found, p7_found, p7_conversations, p8_ids, p9_found, p9_alignments, p10_found)}
