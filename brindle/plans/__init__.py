@@ -1,5 +1,5 @@
 """Registered queries of the core and the SQL they are held against."""
 
-from . import general
+from . import general, keeping, measuring, retrieving, texts
 
-MODULES = (general,)
+MODULES = (general, texts, retrieving, measuring, keeping)
