@@ -15,6 +15,9 @@ import base64
 import heapq
 import json
 import os
+import unicodedata
+from collections.abc import Iterable
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -45,21 +48,88 @@ def crossings(ranks: dict[bytes, int]) -> set[tuple[int, int]]:
 
 #: Fixed value: the pattern of this vocabulary, in Java's spelling.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def byte_class(codes: Iterable[int]) -> str:
+    """A pattern over bytes (as characters U+0000 to U+00FF) of one of these non-ASCII code points in UTF-8."""
+    lasts: dict[bytes, int] = {}
+    for code in codes:
+        encoded = chr(code).encode("utf-8", "surrogatepass")
+        lasts[encoded[:-1]] = lasts.get(encoded[:-1], 0) | 1 << (encoded[-1] - 0x80)
+
+    def spelled(bits: int) -> str:
+        out, at = "", 0
+        while at < 128:
+            if bits >> at & 1:
+                end = at
+                while end < 127 and bits >> (end + 1) & 1:
+                    end += 1
+                out += f"\\x{0x80 + at:02x}" + (f"-\\x{0x80 + end:02x}" if end > at else "")
+                at = end
+            at += 1
+        return f"[{out}]"
+
+    def tree(level: dict[bytes, str]) -> str:
+        """Prefixes and what follows them, from the last byte but one to the first."""
+        while any(level):
+            upper: dict[bytes, dict[str, int]] = {}
+            done: dict[bytes, str] = {}
+            longest = max(map(len, level))
+            for prefix, rest in level.items():
+                if len(prefix) < longest:
+                    done[prefix] = rest
+                elif len(prefix) == 1:
+                    upper.setdefault(b"", {}).setdefault(rest, 0)
+                    upper[b""][rest] |= 1 << (prefix[0] - 0x80)
+                else:
+                    upper.setdefault(prefix[:-1], {}).setdefault(rest, 0)
+                    upper[prefix[:-1]][rest] |= 1 << (prefix[-1] - 0x80)
+            for prefix, rests in upper.items():
+                branches = "|".join(spelled(bits) + rest for rest, bits in rests.items())
+                branch = f"(?:{branches})" if len(rests) > 1 else branches
+                done[prefix] = f"(?:{done[prefix]}|{branch})" if prefix in done else branch
+            level = done
+        return level.get(b"", "(?!)")
+
+    return tree({prefix: spelled(bits) for prefix, bits in lasts.items()})
+
+
+@lru_cache(1)
+def byte_pattern(unsafe: frozenset[tuple[int, int]]) -> str:
+    """PATTERN over the bytes of a text, cut between ideographs unless the bytes at the cut are among the unsafe ones."""
+    spaces = {ord(c) for c in SPACES}
+    kinds: dict[str, list[int]] = {"L": [], "N": [], "S": [], "": []}
+    for code in range(0x80, 0x110000):
+        if 0xD800 <= code <= 0xDFFF or 0x4E00 <= code <= 0x9FFF:
+            continue
+        kind = unicodedata.category(chr(code))[0] if code < 0x40000 else ""
+        kinds["S" if code in spaces else kind if kind in "LN" else ""].append(code)
+    # ideographs and the marks between them come first, for speed
+    marks = r"\xef\xbc[\x81-\x8f\x9a-\xa0]|\xe3\x80[\x81-\x84\x88-\x9f]"
+    high = rf"(?=[\xc2-\xf4])(?!{marks})"
+    han = r"\xe4[\xb8-\xbf][\x80-\xbf]|[\xe5-\xe9][\x80-\xbf][\x80-\xbf]"
+    letter = rf"(?:[A-Za-z]|{han}|{high}{byte_class(kinds['L'])})"
+    digit = rf"(?:[0-9]|{high}{byte_class(kinds['N'])})"
+    space = rf"(?:[\x09-\x0d ]|{high}{byte_class(kinds['S'])})"
+    other = rf"(?:[\x00-\x08\x0e-\x1f!-/:-@\[-`{{-\x7f]|{marks}|(?=[\xc2-\xf4]){byte_class(kinds[''])})"
+    pairs = "|".join(f"(?<=\\x{a:02x})\\x{b:02x}" for a, b in sorted(unsafe))
+    safe = r"(?=[\xe4-\xe9])" + (f"(?!{pairs})" if pairs else "")
+    cut = rf"{safe}(?<=[\xe4-\xe9][\x80-\xbf][\x80-\xbf])"
+    quick = rf"(?:{han}){safe}| ?[A-Za-z]++(?![\x80-\xff])| ?[0-9]++(?![\x80-\xff])"
+    return rf"'(?:[stmd]|re|ve|ll)|{quick}| ?{letter}(?:(?!{cut}){letter})*+| ?{digit}++| ?{other}++|{space}+(?={space}|\z)|{space}+"
 
 
 def words(text: Column, ranks: dict[bytes, int]) -> Column:
     """The words of a text, as characters U+0000 to U+00FF that stand for their bytes, cut between ideographs where that is safe."""
-    unsafe = "|".join(f"(?<=\\x{a:02x})(?=\\x{b:02x})" for a, b in sorted(crossings(ranks)))
-    cut = r"(?<=[\xe4-\xe9][\x80-\xbf]{2})(?=[\xe4-\xe9])" + (f"(?!{unsafe})" if unsafe else "")
-    part = rf"(?s).(?:(?!{cut}).)*+"
-    whole = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda w: F.decode(F.encode(w, "UTF-8"), "ISO-8859-1"))
-    return F.flatten(F.transform(whole, lambda w: F.when(w.rlike(r"[\xe4-\xe9]"), F.regexp_extract_all(w, F.lit(part), F.lit(0))).otherwise(F.array(w))))
+    pattern = byte_pattern(frozenset(crossings(ranks)))
+    return F.regexp_extract_all(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), F.lit(pattern), F.lit(0))
 
 
 def buckets(entries: DataFrame, value: str) -> list[dict]:
     """Entries (key, value) as one map per bucket of the key's hash."""
     table: list[dict] = [{} for _ in range(BUCKETS)]
-    for row in entries.select(F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int").alias("b"), "key", value).collect():  # a vocabulary, or COMMON words
+    for row in entries.select(F.hash("key").bitwiseAND(BUCKETS - 1).alias("b"), "key", value).collect():  # a vocabulary, or COMMON words
         table[row.b][row.key] = row[value]
     return table
 
@@ -70,7 +140,7 @@ def literal(table: list[dict], kind: str) -> Column:
 
 
 def look_up(table: Column, key: Column) -> Column:
-    return F.element_at(F.element_at(table, (F.pmod(F.xxhash64(key), F.lit(BUCKETS)) + 1).cast("int")), key)
+    return F.element_at(F.get(table, F.hash(key).bitwiseAND(BUCKETS - 1)), key)
 
 
 def fold(word: Column, ranks: Column) -> Column:
