@@ -247,7 +247,7 @@ def found(vectors: DataFrame, k: int = LIMIT, least: float = 0.9, dim: int = DIM
     return nearest(vectors, k, least, dim).select(F.least("src", "dst").alias("id_a"), F.greatest("src", "dst").alias("id_b")).distinct()
 
 
-def search(graph: DataFrame, points: DataFrame, queries: DataFrame, k: int = LIMIT, beam: int = 32, entries: int = 32, steps: int = 8, dim: int = DIM) -> DataFrame:
+def search(graph: DataFrame, points: DataFrame, queries: DataFrame, k: int = LIMIT, beam: int = 32, entries: int = 256, steps: int = 8, dim: int = DIM) -> DataFrame:
     """(query, id, sim, rank): greedy search of all queries (query, q) together over a graph (src, dst) of the points (id, q).
 
     Each query starts at the same ``entries`` points of smallest id hash, and in each step looks at the neighbours of its best ``beam``
