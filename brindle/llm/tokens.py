@@ -5,8 +5,8 @@ the bytes on both sides of the cut next to each other (no merge can cross it, so
 pieces the neighbours of least rank are joined until no pair has a rank. Ranks are a literal: an array of small maps, so that a
 look-up costs a hash and a short scan. The words that occur in most records (COMMON of them, counted over the whole
 corpus) are folded once and become a literal too; any other word is folded where it stands. Nothing but these counts is
-shuffled. Folding takes the square of a word's length: records with a run of LONG characters of one class are encoded
-by the same merges with a heap.
+shuffled. Folding takes the square of a word's length: records with a word of more than LONG bytes are encoded by the same
+merges with a heap.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-COMMON, LONG = 65_536, 65
+COMMON, LONG = 65_536, 256
 BUCKETS = 1 << 14
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SPACE = r"\p{IsWhite_Space}"
@@ -196,27 +196,36 @@ def encode(documents: DataFrame, path: str | None = None, common: int = COMMON)
     path = path or default_path()
     vocabulary = ranks_of(path)
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    runs = "|".join(f"(?<!{c}){c}{{{LONG}}}" for c in (r"\p{L}", r"\p{N}", rf"[^{SPACE}\p{{L}}\p{{N}}]", f"[{SPACE}]"))
-    short, long = texts.where(~F.col("text").rlike(runs)), texts.where(F.col("text").rlike(runs))
+    cut = words(F.col("text"), vocabulary)
     keys = spark.createDataFrame(pa.table({"key": [k.decode("latin-1") for k in vocabulary], "rank": pa.array(vocabulary.values(), pa.int32())}))
     ranks = literal(buckets(keys, "rank"), "int")
-    each = short.select(F.explode(F.array_distinct(words(F.col("text"), vocabulary))).alias("key")).groupBy("key").count()
+    each = texts.select(F.explode(F.array_distinct(cut)).alias("key")).where(F.length("key") <= LONG).groupBy("key").count()
     top = each.orderBy(F.col("count").desc(), "key").limit(common).select("key").repartition(spark.sparkContext.defaultParallelism)  # the limit leaves one partition
     known = literal(buckets(top.select("key", F.transform(F.array(ranks), lambda r: fold(F.col("key"), r))[0].alias("ids")), "ids"), "array<int>")
-    # in one struct, so that the plan holds each literal once
-    ids = F.transform(F.array(F.struct(ranks.alias("ranks"), known.alias("known"))), lambda c: F.flatten(F.transform(words(F.col("text"), vocabulary), lambda w: F.coalesce(look_up(c["known"], w), fold(w, c["ranks"])))))[0]
 
+    def ids(found: Column, tables: Column) -> Column:
+        return F.flatten(F.transform(found, lambda w: F.coalesce(look_up(tables["known"], w), fold(w, tables["ranks"]))))
+
+    # in structs, so that the plan holds each literal once and each text is cut once; null where a word is too long to fold
+    row = F.struct(cut.alias("words"), F.struct(ranks.alias("ranks"), known.alias("known")).alias("tables"))
+    made = F.transform(F.array(row), lambda x: F.when(~F.exists(x["words"], lambda w: F.length(w) > LONG), ids(x["words"], x["tables"])))[0]
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def heaped(batches):
         import regex
 
-        table, cut = shared.value, regex.compile(PATTERN.replace(SPACE, r"\p{White_Space}"))
+        table, pattern = shared.value, regex.compile(PATTERN.replace(SPACE, r"\p{White_Space}"))
         for batch in batches:
-            out = [[i for w in cut.findall(text) for i in merged(w.encode(), table)] for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
-
-    return short.select("doc_id", ids.alias("ids")).unionByName(long.mapInArrow(heaped, "doc_id bigint, ids array<int>"))
+            if batch.column(1).null_count:
+                done = [
+                    [i for w in pattern.findall(text) for i in merged(w.encode(), table)] if found is None else found
+                    for found, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+                ]
+                batch = batch.set_column(1, "ids", pa.array(done, batch.schema.field(1).type))
+            yield batch.select([0, 1])
+
+    folded = texts.select("doc_id", "text", made.alias("ids")).select("doc_id", "ids", F.when(F.col("ids").isNull(), F.col("text")).alias("text"))
+    return folded.mapInArrow(heaped, "doc_id bigint, ids array<int>")
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
