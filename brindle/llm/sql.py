@@ -16,6 +16,19 @@ v AS (
 """
 
 SQL = {
+    "p1_found": r"""
+WITH d AS (SELECT DISTINCT sdoc_id, text, sections FROM structured_document),
+i AS (SELECT sdoc_id, 0 AS section_no, text AS x FROM d WHERE coalesce(len(sections), 0) = 0
+  UNION ALL SELECT sdoc_id, i::INT, coalesce(s.content, text[s.start_offset + 1 : s.end_offset]) FROM (SELECT sdoc_id, text, unnest(sections) AS s, generate_subscripts(sections, 1) AS i FROM d)),
+m AS (SELECT sdoc_id, section_no, regexp_replace(regexp_replace(x, '([\n\r。！？；])', '\1' || chr(1), 'g'), '([.!?;])([\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}])', '\1' || chr(1) || '\2', 'g') AS marked
+  FROM i WHERE length(x) > 1000)
+SELECT sdoc_id, section_no, CASE WHEN list_max(list_transform(string_split(marked, chr(1)), lambda p: length(p))) > 900 THEN 'forced' ELSE 'natural' END AS cut FROM m""",
+    "p6_found": """
+WITH v AS (SELECT id, any_value(embedding::DOUBLE[]) AS e FROM t_knowledge_vector WHERE len(embedding) = 64 AND id IS NOT NULL GROUP BY id),
+n AS (SELECT id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE list_dot_product(e, e) > 0),
+p AS (SELECT a.id AS a, b.id AS b, round(list_dot_product(a.e, b.e) / (a.n * b.n), 6) AS c FROM n a JOIN n b ON a.id <> b.id),
+r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS rank FROM p WHERE c >= 0.9)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE rank <= 5""",
     "p5_found": r"""
 WITH g AS (
   SELECT strftime(start_time, '%Y-%m-%d') AS trace_day, trace_name, duration_ms FROM (
