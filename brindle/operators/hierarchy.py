@@ -66,15 +66,20 @@ def climb(links: DataFrame, with_paths: bool = False, label: str = "climb") -> t
 def cycles(links: DataFrame, label: str = "cycle") -> DataFrame:
     """(code, root): the rows on a cycle and the smallest code of it, of links that all lead into cycles.
 
-    After enough doublings every pointer rests on a cycle, and each row of a cycle is where some pointer rests; the
-    minimum over the steps taken from there is the minimum of the cycle.
+    Pointers double until as many rows are rested on as a round before (then every pointer rests on a cycle, and each row of
+    a cycle is rested on) and no minimum over the steps taken has changed (then it is the minimum of the cycle).
     """
-    count, span, turn = links.count(), 1, 0
+    turn, rested = 0, links.count()
     state = keep(links.select("code", F.col("parent").alias("at"), F.col("code").alias("least")), f"{label}-0")
-    while span < count:
-        turn, span = turn + 1, span * 2
-        step = state.alias("a").join(state.select(F.col("code").alias("at"), F.col("at").alias("next"), F.col("least").alias("other")), "at")
-        state = keep(step.select("code", F.col("next").alias("at"), F.least("least", "other").alias("least")), f"{label}-{turn}")
+    while True:
+        turn += 1
+        step = state.join(state.select(F.col("code").alias("at"), F.col("at").alias("next"), F.col("least").alias("other")), "at")
+        step = keep(step.select("code", F.col("next").alias("at"), F.least("least", "other").alias("least"), (F.col("other") < F.col("least")).alias("changed")), f"{label}-{turn}")
+        now, changed = step.agg(F.count_distinct("at"), F.count_if("changed")).first()
+        state = step.drop("changed")
+        if now == rested and not changed:
+            break
+        rested = now
     return state.join(state.select(F.col("at").alias("code")).distinct(), "code", "left_semi").select("code", F.col("least").alias("root"))
 
 
