@@ -68,11 +68,15 @@ def utf16_length(x: Column) -> Column:
 def token_count(x: Column) -> Column:
     """An estimate: a token for 4 ASCII characters, 1 ideograph, kana or Hangul, or 2 others (UTF-16 units); null counts 0."""
     solid = F.regexp_replace(F.coalesce(x, F.lit("")), WHITE + "+", "")
-    ascii_ = F.length(F.regexp_replace(solid, r"[^\x00-\x7F]+", ""))
-    cjk = F.length(F.regexp_replace(solid, others(CJK) + "+", ""))
-    rest = utf16_length(solid) - ascii_ - cjk
-    total = F.expr("0").cast("int") + F.floor((ascii_ + 3) / 4) + cjk + F.floor((rest + 1) / 2)
-    return F.when(solid == "", F.lit(0)).otherwise(F.greatest(total, F.lit(1))).cast("bigint")
+
+    def counted(s: Column) -> Column:
+        ascii_ = F.length(F.regexp_replace(s, r"[^\x00-\x7F]+", ""))
+        return F.struct(ascii_.alias("ascii"), F.length(F.regexp_replace(s, others(CJK) + "+", "")).alias("cjk"), utf16_length(s).alias("all"))
+
+    # lambdas, so that each expression is computed once
+    total = lambda n: F.floor((n["ascii"] + 3) / 4) + n["cjk"] + F.floor((n["all"] - n["ascii"] - n["cjk"] + 1) / 2)
+    counts = F.transform(F.transform(F.array(solid), counted), lambda n: F.when(n["all"] == 0, F.lit(0).cast("bigint")).otherwise(F.greatest(total(n), F.lit(1).cast("bigint"))))
+    return counts[0].cast("bigint")
 
 
 def split_questions(x: Column) -> Column:
