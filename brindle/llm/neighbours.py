@@ -2,9 +2,10 @@
 
 1. Every vector is reduced to a direction of one byte per dimension; equal directions keep LIMIT + 1 representatives (the smallest
    ids), and any further copy has those as its neighbours, so a vector with a third of all rows costs no more.
-2. Start: in each of TABLES random rotations the vectors are sorted by the axis they lie nearest to (cross-polytope
-   hashing; for larger collections by a second, partial rotation too) and compared within blocks of at most BLOCK
-   vectors of one bucket. The sort is by range, so a bucket of any size spreads over tasks.
+2. Start: in each of TABLES random rotations the vectors are put into buckets by the axis they lie nearest to (cross-polytope
+   hashing; for larger collections by a second, partial rotation too). A bucket of more than BLOCK vectors is split in
+   SPLITS independent ways by what its vectors have besides their mean, in further rotations, until each cell fits
+   (after LEVELS levels by id: then its vectors differ by no more than the bytes can tell); each cell is compared in full.
 3. Rounds: neighbours of a vector, and vectors it is a neighbour of, are proposed to each other; the best ``width`` per
    vector stay; only pairs with a new link are tried. The rounds end when few links change.
 4. The links are measured exactly on the original vectors.
@@ -15,6 +16,9 @@ do not enter the graph: for results with a least cosine, of which the way over a
 
 from __future__ import annotations
 
+import zlib
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,6 +30,7 @@ from ..session import keep
 DIM, TABLES, BLOCK, LIMIT, ROUNDS, SEED = 64, 8, 4096, 5, 6, 20_011
 #: Mean size of a bucket from which a second rotation splits it.
 BUCKET = 2048
+SPLITS, LEVELS = 6, 6
 
 
 def _vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +75,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return q / np.sqrt((q * q).sum(axis=1))[:, None]
 
 
+@lru_cache(256)
 def _rotation(number: int, dim: int) -> np.ndarray:
     q, _ = np.linalg.qr(np.random.default_rng([SEED, number]).normal(size=(dim, dim)))
     return q.astype(np.float32)
@@ -108,23 +114,106 @@ def _closest(matrix: np.ndarray, width: int, floor: float | None) -> tuple[np.nd
 LINK = "src string, dst string, sim float"
 
 
+def _mixed(key: np.ndarray, *more) -> np.ndarray:
+    """A 64-bit number of a cell from that of the cell it is a part of."""
+    key = key.astype(np.int64).view(np.uint64)
+    with np.errstate(over="ignore"):
+        for part in more:
+            key = (key ^ (np.asarray(part).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+            key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def _cells(matrix: np.ndarray, second: int, tables: int, splits: list, dim: int):
+    """Rows, cells and depths. ``splits``: for each level the cells to split, sorted, and their means."""
+    for t in range(tables):
+        first, other = _rotation(2 * t, dim), _rotation(2 * t + 1, dim)
+        key = (t * 2 * dim + _axis(matrix @ first).astype(np.int64)) * 2 * dim + (_axis(matrix @ other[:, :second]) if second else 0)
+        todo = [(np.arange(len(matrix)), _mixed(key), 0, 0)]
+        while todo:
+            rows, key, depth, way = todo.pop()
+            if depth < len(splits) and len(rows):
+                known, means = splits[depth]
+                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                large = known[at] == key
+                if large.any():
+                    rest, parent = rows[large], key[large]
+                    points = matrix[rest] - means[at[large]]
+                    for s in range(SPLITS) if depth == 0 else [way]:
+                        axis = _axis(points @ _rotation(2 * tables + (t * SPLITS + s) * LEVELS + depth, dim))
+                        todo.append((rest, _mixed(parent, s, axis), depth + 1, s))
+                    rows, key = rows[~large], key[~large]
+            if len(rows):
+                yield rows, key, depth
+
+
+def _splits(points: DataFrame, second: int, tables: int, dim: int) -> tuple[list, dict[int, int]]:
+    """Which cells to split, and their means, level by level; into how many parts the cells are cut that no rotation splits.
+    At most rows * TABLES * SPLITS / BLOCK cells a level come to the driver."""
+    splits: list = []
+    for depth in range(LEVELS + 1):
+
+        def count(batches, depth=depth, splits=splits):
+            total: dict[int, int] = {}
+            for batch in batches:
+                if batch.num_rows:
+                    found = [key for _, key, at in _cells(_matrix(batch.column(0), dim), second, tables, splits, dim) if at == depth]
+                    if found:
+                        for key, n in zip(*map(np.ndarray.tolist, np.unique(np.concatenate(found), return_counts=True)), strict=True):
+                            total[key] = total.get(key, 0) + n
+            if total:
+                yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], names=["cell", "n"])
+
+        large = {r.cell: r.n for r in points.select("q").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK).collect()}
+        if not large or depth == LEVELS:
+            return splits, {cell: -(-n // (BLOCK // 2)) for cell, n in large.items()}
+        known = np.array(sorted(large), dtype=np.int64)
+
+        def add(batches, depth=depth, splits=splits, known=known):
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                matrix = _matrix(batch.column(0), dim)
+                for rows, key, at in _cells(matrix, second, tables, splits, dim):
+                    if at == depth:
+                        place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                        rows, place = rows[known[place] == key], place[known[place] == key]
+                        order = np.argsort(place, kind="stable")
+                        one, begin = np.unique(place[order], return_index=True)
+                        if len(one):
+                            for i, row in zip(one.tolist(), np.add.reduceat(matrix[rows[order]], begin, axis=0, dtype=np.float64), strict=True):
+                                total[i] = total[i] + row if i in total else row
+            if total:
+                flat = pa.array(np.concatenate(list(total.values())))
+                yield pa.RecordBatch.from_arrays([pa.array([int(known[i]) for i in total], pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dim, dtype=np.int32)), flat)], names=["cell", "x"])
+
+        sums = points.select("q").mapInArrow(add, "cell bigint, x array<double>").groupBy("cell").agg(*[F.sum(F.col("x")[i]).alias(f"x{i}") for i in range(dim)])
+        means = {r[0]: np.array(r[1:]) / large[r[0]] for r in sums.collect()}
+        splits = [*splits, (known, np.stack([means[k] for k in known.tolist()]).astype(np.float32))]
+    raise AssertionError
+
+
 def start(points: DataFrame, count: int, width: int, floor: float | None, dim: int = DIM, tables: int = TABLES) -> DataFrame:
-    """Links (src, dst, sim) between vectors that share a block of a bucket of some table."""
+    """Links (src, dst, sim) between vectors that share a cell of some table."""
     second = 0  # axes of the second rotation that split a bucket
     while count / (2 * dim * max(1, 2 * second)) > BUCKET and second < dim:
         second = max(1, 2 * second)
+    splits, parts_of = _splits(points, second, tables, dim)
+    shared = points.sparkSession.sparkContext.broadcast((splits, parts_of))
 
     def place(batches):
-        turns = [(_rotation(2 * t, dim), _rotation(2 * t + 1, dim)) for t in range(tables)]
+        splits, parts_of = shared.value
+        whole = np.array(sorted(parts_of), dtype=np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            matrix = _matrix(batch.column(1), dim)
-            for t, (first, other) in enumerate(turns):
-                code = _axis(matrix @ first).astype(np.int64)
-                fine = _axis(matrix @ other[:, : max(second, 8)]).astype(np.int64)
-                bucket = (t * 2 * dim + code) * 2 * dim + (_axis(matrix @ other[:, :second]) if second else 0)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(fine), *batch.columns], names=["bucket", "fine", "id", "q"])
+            for rows, key, _ in _cells(_matrix(batch.column(1), dim), second, tables, splits, dim):
+                if len(whole):
+                    for i in np.flatnonzero(np.isin(key, whole)).tolist():
+                        part = zlib.crc32(batch.column(0)[int(rows[i])].as_py().encode(), int(key[i]) & 0xFFFFFFFF) % parts_of[int(key[i])]
+                        key[i] = _mixed(key[i : i + 1], part)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(key), *[c.take(pa.array(rows)) for c in batch.columns]], names=["bucket", "id", "q"])
 
     def compare(batches):
         ids, parts, now, held = [], [], None, 0
@@ -139,7 +228,7 @@ def start(points: DataFrame, count: int, width: int, floor: float | None, dim: i
             if not batch.num_rows:
                 continue
             buckets = batch.column(0).to_numpy()
-            matrix = _matrix(batch.column(3), dim)
+            matrix = _matrix(batch.column(2), dim)
             edges = np.flatnonzero(buckets[1:] != buckets[:-1]) + 1
             for low, high in zip([0, *edges.tolist()], [*edges.tolist(), len(buckets)], strict=True):
                 while low < high:
@@ -147,15 +236,14 @@ def start(points: DataFrame, count: int, width: int, floor: float | None, dim: i
                         yield from block()
                         ids, parts, held = [], [], 0
                     take = min(high - low, BLOCK - held)
-                    ids.append(batch.column(2).slice(low, take))
+                    ids.append(batch.column(1).slice(low, take))
                     parts.append(matrix[low : low + take])
                     now, held, low = buckets[low], held + take, low + take
         if parts:
             yield from block()
 
-    placed = points.select("id", "q").mapInArrow(place, "bucket bigint, fine bigint, id string, q binary")
-    order = ["bucket", "fine", "id"]
-    return placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare, LINK)
+    placed = points.select("id", "q").mapInArrow(place, "bucket bigint, id string, q binary")
+    return placed.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(compare, LINK)
 
 
 def _best(links: DataFrame, width: int) -> DataFrame:

@@ -60,3 +60,27 @@ def test_recall_of_graph_and_search(spark):
     for r in n.search(graph, points, asked, 6, beam=48).collect():
         found.setdefault(r["query"], set()).add(r["id"])
     assert np.mean([len(v & {i, *want[i]}) / 6 for i, v in found.items()]) >= 0.9
+
+
+def cone(count, pairs, seed=5):
+    """Vectors of mutual cosine of about 0.6, and after them a near one of each of the first ``pairs``."""
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=64)
+    base /= np.linalg.norm(base)
+    rest = rng.normal(size=(count, 64)) / 8
+    one = base * 0.6**0.5 + rest * 0.4**0.5
+    return np.concatenate([one, one[:pairs] + rng.normal(size=(pairs, 64)) / 8 * 0.4])
+
+
+def test_recall_in_a_cone(spark):
+    """Buckets of many times BLOCK vectors."""
+    matrix = cone(60_000, 1500).astype(np.float32)
+    unit = (matrix / np.linalg.norm(matrix, axis=1)[:, None]).astype(np.float32)
+    want = set()
+    for low in range(0, len(unit), 1000):
+        a, b = np.nonzero(unit[low : low + 1000] @ unit.T >= 0.9)
+        want |= {(f"{min(x, y):05}", f"{max(x, y):05}") for x, y in zip((a + low).tolist(), b.tolist(), strict=True) if x != y}
+    got = {tuple(r) for r in n.found(spark.createDataFrame(rows(matrix.tolist()), SCHEMA).repartition(4)).collect()}
+    recall = len(got & want) / len(want)
+    print("recall", recall, "of", len(want))
+    assert len(want) > 1000 and recall >= 0.985
