@@ -2,9 +2,10 @@
 
 Texts are compared after NFKC, lower-casing and removal of everything but letters and digits. One pass over the
 records finds every place where GRAM characters of a test item stand and cuts out the passages around such places.
-From the number of records that hold each n-gram, every stretch of RUN characters of an item is given its rarest
-n-gram as a seed (a stretch whose seed occurs nowhere occurs nowhere itself), so no shared run of RUN characters is lost and
-common n-grams start no alignment that a rarer one would not. Passages with a seed of an item are aligned with it.
+From the number of records that hold each n-gram, every stretch of so many characters of an item is given as a seed its rarest
+n-gram among those that occur, so no shared run of a stretch's length is lost and common n-grams start no alignment that a
+rarer one would not. Passages with a seed of an item are aligned with it. Exact runs need stretches of RUN characters; for edited
+copies a stretch has STRETCH, so that a copy is aligned that keeps so many characters in a row somewhere, whatever others hold.
 
 Only the items are broadcast, in blocks of at most MOST_ITEMS items; records are scanned once per block.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from ..session import keep
 from .rolling import SLICE, Prefix, row_blocks, slices
 
-RUN, GRAM, MOST_ITEMS = 40, 20, 20_000
+RUN, GRAM, STRETCH, MOST_ITEMS = 40, 20, 24, 20_000
 MATCH, MISMATCH, GAP = 2, -1, 2
 
 
@@ -121,16 +122,16 @@ def passages(documents: DataFrame, known: np.ndarray, gram: int, margin: int) ->
     return documents.select("doc_id", "text").where("text is not null").mapInArrow(scan, PASSAGE)
 
 
-def seeds(items: list[tuple[int, np.ndarray]], count: dict[int, int], run: int, gram: int) -> dict[int, list[int]]:
-    """n-gram to the numbers of the items it is a seed of: the rarest of each run - gram + 1 neighbours, the leftmost of equals;
-    without those that occur in no record."""
+def seeds(items: list[tuple[int, np.ndarray]], count: dict[int, int], stretch: int, gram: int) -> dict[int, list[int]]:
+    """n-gram to the numbers of the items it is a seed of: of each stretch - gram + 1 neighbours the rarest that occurs in a
+    record, the leftmost of equals."""
     chosen: dict[int, set[int]] = {}
     for number, (_, hashes) in enumerate(items):
-        seen = np.array([count.get(h, 0) for h in hashes.view(np.int64).tolist()])
-        width = run - gram + 1
+        seen = np.array([count.get(h, 0) or np.inf for h in hashes.view(np.int64).tolist()])
+        width = stretch - gram + 1
         for i in range(len(hashes) - width + 1):
             best = i + int(np.argmin(seen[i : i + width]))
-            if seen[best]:
+            if np.isfinite(seen[best]):
                 chosen.setdefault(int(hashes.view(np.int64)[best]), set()).add(number)
     return {h: sorted(n) for h, n in chosen.items()}
 
@@ -158,15 +159,16 @@ def align(item: np.ndarray, texts: list[np.ndarray]) -> tuple[np.ndarray, np.nda
     return np.maximum.reduceat(best, begins), np.maximum.reduceat(longest, begins)
 
 
-def alignments(documents: DataFrame, items: DataFrame, run: int = RUN, gram: int = GRAM, most_items: int = MOST_ITEMS) -> DataFrame:
+def alignments(documents: DataFrame, items: DataFrame, run: int = RUN, gram: int = GRAM, most_items: int = MOST_ITEMS, stretch: int = STRETCH) -> DataFrame:
     """(doc_id, item_id, score, longest_run, item_chars): the best local alignment of each record with each item that it shares
-    a run of at least ``run`` normalised characters with, or an edited passage around a seed (then longest_run is shorter).
+    a run of at least ``stretch`` normalised characters with (at most ``run``, at least the n-gram), or an edited passage around a seed.
 
     Records and items with null or blank texts, and items of fewer than ``run`` characters, give no rows; of several items with
     one id each counts. Repeated records give one row per doc_id and item.
     """
     if not 1 <= gram <= run:
         raise ValueError("the n-gram must not be longer than the run")
+    stretch = min(max(stretch, gram), run)
     spark = documents.sparkSession
     total = items.count()
     results = []
@@ -179,7 +181,7 @@ def alignments(documents: DataFrame, items: DataFrame, run: int = RUN, gram: int
         hashed = [(i, grams(c, gram)) for i, c in rows]
         found = keep(passages(documents, np.concatenate([h for _, h in hashed]), gram, 2 * run + gram), "passages")
         counted = found.select("doc_id", F.explode("grams").alias("gram")).distinct().groupBy("gram").count()  # no more rows than the items' n-grams
-        table = spark.sparkContext.broadcast((rows, seeds(hashed, {r["gram"]: r["count"] for r in counted.toLocalIterator()}, run, gram)))
+        table = spark.sparkContext.broadcast((rows, seeds(hashed, {r["gram"]: r["count"] for r in counted.toLocalIterator()}, stretch, gram)))
 
         def score(batches, table=table):
             listed, start = table.value
@@ -210,4 +212,4 @@ def alignments(documents: DataFrame, items: DataFrame, run: int = RUN, gram: int
 
 def found(documents: DataFrame, items: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
     """(doc_id, item_id) of the records that share a run of at least ``run`` normalised characters with an item."""
-    return alignments(documents, items, run, gram).where(F.col("longest_run") >= run).select("doc_id", "item_id")
+    return alignments(documents, items, run, gram, stretch=run).where(F.col("longest_run") >= run).select("doc_id", "item_id")

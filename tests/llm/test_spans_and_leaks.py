@@ -82,6 +82,24 @@ def test_leaks(spark):
     assert leaks.found(df.where("false"), it).count() == 0 and leaks.found(df, it.where("false")).count() == 0
 
 
+def test_edited_copies(spark):
+    """Copies with a change every 25 to 35 characters, alone and beside a whole copy."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh中文字") for _ in range(n))
+    texts = [word(200) for _ in range(22)]
+
+    def edited(text, every):
+        return "".join("x" if i % every == every - 1 else c for i, c in enumerate(text))
+
+    docs = [(i, word(60) + edited(t, 25 + i % 11) + word(60)) for i, t in enumerate(texts)] + [(100 + i, word(30) + t) for i, t in enumerate(texts[:11])]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    it = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r for r in leaks.alignments(df, it).collect()}
+    assert {(i, i) for i in range(22)} | {(100 + i, i) for i in range(11)} == set(got)
+    assert all(24 <= got[i, i].longest_run < 40 and got[i, i].score > 300 for i in range(22))
+    assert {tuple(r) for r in leaks.found(df, it).collect()} == {(100 + i, i) for i in range(11)}
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.text("abc", min_size=1, max_size=12), st.lists(st.text("abc", max_size=12), min_size=1, max_size=4))
 def test_alignment(item, texts):
