@@ -1,7 +1,7 @@
 """Chunking of documents. Positions and sizes count UTF-16 units, as in the system whose results these are.
 
-Without overlap the fixed strategy is arithmetic and stays in the JVM; with overlap each cut depends on the one before, and
-the structure-aware strategy packs blocks one after the other: these run as Arrow UDFs, document by document, without a shuffle.
+The fixed strategy rejoins broken URLs and parted ideographs first, and with overlap each cut depends on the one before; the
+structure-aware strategy packs blocks one after the other: these run as Arrow UDFs, document by document, without a shuffle.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, trim_control
@@ -208,6 +208,27 @@ def chunk(documents: DataFrame, strategy: str, **options: int) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, chunk_index int, content string")
 
 
+def pieces(text: Column, strategy: str, **options: int) -> Column:
+    """The contents of the chunks of a text, as an array; none for null and blank texts."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown chunking strategy: {strategy}")
+    cut = STRATEGIES[strategy]
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([cut(t, **options) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return F.arrow_udf(run, "array<string>")(text)
+
+
+def clipped(contents: Column, most: int) -> Column:
+    """Each text of an array cut to ``most`` UTF-16 units."""
+
+    def run(lists: pa.Array) -> pa.Array:
+        return pa.array([x and [c if len(c) * 2 <= most else _text(_units(c)[:most]) for c in x] for x in lists.to_pylist()], pa.list_(pa.string()))
+
+    return F.arrow_udf(run, "array<string>")(contents)
+
+
 def chunk_plain(documents: DataFrame, size: int) -> DataFrame:
     """(doc_id, chunk_index, content): pieces of ``size`` code points of the text without carriage returns, blank ones left out."""
     text = F.replace("text", F.lit("\r"), F.lit(""))

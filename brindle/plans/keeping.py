@@ -173,8 +173,26 @@ l AS (SELECT doc_id, 0 AS step, 'read' AS node, CASE WHEN e IS NULL THEN 'succes
   UNION ALL SELECT doc_id, 1, 'enrich', CASE WHEN lang = 'none' THEN 'success' ELSE 'skipped' END, CASE WHEN coalesce(lang, '') <> 'none' THEN 'Skipped: condition not met' END FROM d WHERE e IS NULL
   UNION ALL SELECT doc_id, 2, 'cut', CASE WHEN {_BLANK} THEN 'failed' ELSE 'success' END, CASE WHEN {_BLANK} THEN 'no text to chunk' END FROM d WHERE e IS NULL)
 SELECT doc_id, step::INT AS step, node, outcome, message FROM l""")
+def pipeline_conditions(spark, folder):
+    """Only which nodes act and which don't: no document meets the enhancer's condition, and chunks are counted, not made."""
+    nodes = ingest.NODES | {"chunker": ingest.chunk_count}
+    return ingest.node_logs(ingest.run(table(spark, folder, "documents", "doc_id", "text", "lang", "file_type"), STEPS, nodes))
+
+
+WHOLE = [
+    ingest.Step("read", "parser", "enhance", {"types": ["md", "pdf", "docx"]}),
+    ingest.Step("enhance", "enhancer", "cut", {"most": 5, "context": True}, {"field": "lang", "operator": "in", "value": ["en", "de", "fr", "es"]}),
+    ingest.Step("cut", "chunker", "enrich", {"size": 512, "overlap": 128}),
+    ingest.Step("enrich", "enricher", "write", {"most": 3, "document": ["lang", "kb_id"]}),
+    ingest.Step("write", "indexer", None, {"fields": ["keywords", "lang", "kb_id"]}),
+]
+
+
+@query()
 def pipeline_node_log(spark, folder):
-    return ingest.node_logs(ingest.run(table(spark, folder, "documents", "doc_id", "text", "lang", "file_type"), STEPS))
+    """The log of the whole chain; ``made`` is a digest of the rows to be indexed of the document."""
+    done = ingest.run(table(spark, folder, "documents", "doc_id", "text", "lang", "kb_id", "file_type"), WHOLE)
+    return ingest.node_logs(done, F.md5(F.to_json("indexed")).alias("made"))
 
 
 @query("""

@@ -1,3 +1,4 @@
+import json
 from datetime import datetime
 
 import pytest
@@ -96,6 +97,34 @@ def test_pipeline_order():
             ingest.order(bad)
 
 
+def test_whole_pipeline(spark, duck):
+    """Against plain Python, document by document."""
+    from collections import Counter
+    from re import findall
+
+    from brindle.operators.chunking import fixed
+    from brindle.plans import keeping
+    from tests.conftest import DATA
+
+    def top(text, most):
+        return [w for w, _ in sorted(Counter(findall("[a-z]{3,}", text.lower())).items(), key=lambda x: (-x[1], x[0]))[:most]]
+
+    done = ingest.run(spark.read.parquet(f"{DATA}/documents.parquet"), keeping.WHOLE).collect()
+    assert {r.logs[1].outcome for r in done if len(r.logs) > 1} == {"success", "skipped"}
+    for r in done:
+        if r.status == "failed":
+            assert r.indexed is None and r.logs[-1].outcome == "failed"
+            continue
+        text = r.raw_text if r.lang not in ("en", "de", "fr", "es") else " ".join(top(r.raw_text, 5)) + "\n" + r.raw_text
+        want = fixed(text, 512, 128)
+        assert [(x.chunk_index, x.content) for x in r.indexed] == list(enumerate(want))
+        fields = [{"chunk_index": str(i), "doc_id": str(r.doc_id), "keywords": ",".join(top(c, 3))} | {k: r[k] for k in ("kb_id", "lang") if r[k] is not None} for i, c in enumerate(want)]
+        assert [json.loads(x.metadata) for x in r.indexed] == fields
+        assert [x.node for x in r.logs] == ["read", "enhance", "cut", "enrich", "write"] and r.logs[-1].message == f"{len(want)} chunks"
+    logged = {(r.doc_id, r.step): r for r in keeping.pipeline_node_log(spark, DATA).collect()}
+    assert len(logged) == sum(len(r.logs) for r in done) and len({r.made for r in logged.values()}) > 2
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.html").write_text("<p>x<script>no</script></p><p>y &amp; z</p>")
     (tmp_path / "b.md").write_text("# t  \n\n\n\nq")
