@@ -98,7 +98,8 @@ def title_lines(spark, folder):
 WITH d AS (SELECT doc_id, replace(text, chr(13), '') AS s FROM documents),
 c AS (SELECT doc_id, s[1 + 512 * i : 512 * (i + 1)] AS content, i FROM (SELECT doc_id, s, unnest(range(0, ceil(length(s) / 512.0)::BIGINT)) AS i FROM d))
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_index, md5(content) AS content FROM c WHERE regexp_replace(content, '{_WS}+', '', 'g') <> ''""")
-def chunk_fixed_no_overlap(spark, folder):
+def chunk_code_points(spark, folder):
+    """Not the fixed strategy: code points, nothing rejoined."""
     return chunking.chunk_plain(table(spark, folder, "documents", "doc_id", "text"), 512).select("doc_id", "chunk_index", F.md5("content").alias("content"))
 
 
@@ -110,6 +111,11 @@ def chunk_lines(spark, folder):
     return chunking.chunk_lines(table(spark, folder, "documents", "doc_id", "text"), 6).select("doc_id", "chunk_index", F.md5("content").alias("content"))
 
 
+@query()
+def chunk_fixed_no_overlap(spark, folder):
+    return chunking.chunk(table(spark, folder, "documents", "doc_id", "text"), "fixed_size", chunk_size=512, overlap_size=0).select("doc_id", "chunk_index", F.md5("content").alias("content"))
+
+
 @query()
 def chunk_fixed_overlap(spark, folder):
     return chunking.chunk(table(spark, folder, "documents", "doc_id", "text"), "fixed_size", chunk_size=512, overlap_size=128)

@@ -50,3 +50,46 @@ def test_frames(spark):
     assert [tuple(r) for r in c.chunk(df, "fixed_size", chunk_size=2, overlap_size=0).collect()] == [(1, 0, "ab"), (1, 1, "\nc")]
     assert [tuple(r) for r in c.chunk_plain(df, 2).collect()] == [(1, 0, "ab"), (1, 1, "\nc")]
     assert [tuple(r) for r in c.chunk_lines(df, 1).collect()] == [(1, 0, "ab"), (1, 1, "c")]
+
+
+def rejoined(text):
+    """Character by character, as the reference describes it."""
+    s, out, url, i = text.replace("\r", ""), [], False, 0
+    word = lambda c: ("\u3400" <= c <= "\u4dbf" or "\u4e00" <= c <= "\u9fff" or "\uf900" <= c <= "\ufaff" or "\uff00" <= c <= "\uffef") and c not in "。，、；：！？（）【】《》"
+    while i < len(s):
+        url = url or s.startswith(("http://", "https://"), i)
+        c = s[i]
+        if url and c.isspace():
+            j = i
+            while j < len(s) and s[j].isspace():
+                j += 1
+            digits = len(s[j:]) - len(s[j:].lstrip("0123456789"))
+            listed = digits and s[j + digits : j + digits + 1] in (".", ")", "）")
+            if not ("\n" in s[i:j] and j < len(s) and not listed and (s[i - 1] == "." and s[j].isalpha() or s[i - 1] in "/?&=#%-_:" or s[j] in "/?&=#")):
+                out.append(s[i:j])
+                url = False
+            i = j
+            continue
+        if url:
+            url = c.isascii() and (c.isalnum() or c in "-._~:/?#[]@!$&'()*+,;=%")
+            out.append(c)
+        elif not (c == "\n" and 0 < i < len(s) - 1 and word(s[i - 1]) and word(s[i + 1])):
+            out.append(c)
+        i += 1
+    return "".join(out)
+
+
+def test_fixed_no_overlap_query(spark, duck):
+    import hashlib
+
+    from brindle.plans import texts
+    from tests.conftest import DATA
+
+    want, differ = set(), 0
+    for doc, text in duck.execute("SELECT doc_id, text FROM documents WHERE text IS NOT NULL").fetchall():
+        units = rejoined(text).encode("utf-16-le")
+        cuts = [units[i : i + 1024].decode("utf-16-le", "replace") for i in range(0, len(units), 1024)]
+        solid = [x for x in cuts if x.strip()]
+        want |= {(doc, i, hashlib.md5(x.encode()).hexdigest()) for i, x in enumerate(solid)}
+        differ += rejoined(text) != text.replace("\r", "")
+    assert differ and {tuple(r) for r in texts.QUERIES["chunk_fixed_no_overlap"](spark, DATA).collect()} == want
