@@ -116,8 +116,15 @@ def byte_pattern(unsafe: frozenset[tuple[int, int]]) -> str:
     pairs = "|".join(f"(?<=\\x{a:02x})\\x{b:02x}" for a, b in sorted(unsafe))
     safe = r"(?=[\xe4-\xe9])" + (f"(?!{pairs})" if pairs else "")
     cut = rf"{safe}(?<=[\xe4-\xe9][\x80-\xbf][\x80-\xbf])"
-    quick = rf"(?:{han}){safe}| ?[A-Za-z]++(?![\x80-\xff])| ?[0-9]++(?![\x80-\xff])"
-    return rf"'(?:[stmd]|re|ve|ll)|{quick}| ?{letter}(?:(?!{cut}){letter})*+| ?{digit}++| ?{other}++|{space}+(?={space}|\z)|{space}+"
+    # the same cut by an ideograph's last byte, without looking back: most words are single ideographs
+    bad: dict[int, list[int]] = {}
+    for a, b in unsafe:
+        bad.setdefault(a, []).append(b)
+    free = "[\\x80-\\xbf" + (f"&&[^{''.join(f'\\x{a:02x}' for a in sorted(bad))}]" if bad else "") + "](?=[\\xe4-\\xe9])"
+    last = "|".join([free, *(f"\\x{a:02x}(?=[\\xe4-\\xe9&&[^{''.join(f'\\x{b:02x}' for b in sorted(bs))}]])" for a, bs in sorted(bad.items()))])
+    quick = rf"\xe4[\xb8-\xbf](?:{last})|[\xe5-\xe9][\x80-\xbf](?:{last})| ?[A-Za-z]++(?![\x80-\xff])| ?[0-9]++(?![\x80-\xff])"
+    plain = rf" ?[!-/:-@\[-`{{-~]++(?![\x00-\x08\x0e-\x1f\x7f-\xff])|(?:{marks})++(?=[\xe5-\xe9A-Za-z0-9\x09-\x0d ]|\xe4[\xb8-\xbf]|\z)"
+    return rf"{quick}|'(?:[stmd]|re|ve|ll)|{plain}| ?{letter}(?:(?!{cut}){letter})*+| ?{digit}++| ?{other}++|{space}+(?={space}|\z)|{space}+"
 
 
 def words(text: Column, ranks: dict[bytes, int]) -> Column:
