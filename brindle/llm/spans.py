@@ -3,11 +3,14 @@
 Every window of SPAN code points holds one anchor, the GRAM of smallest hash inside it, and consecutive windows with the
 same anchor form a run; copies of a window have copies of its anchor wherever they stand. So
 
-1. a Count-min sketch of the anchors (once per record) is filled per map task, merged by addition and reduced to one
-   bit per cell: counted at least twice. It overestimates only, so an anchor that two records share always passes;
-2. the runs of passing anchors are grouped exactly: equal runs of different records are shared whole; of the others, single windows
-   are compared by hash with the windows of the same anchor;
-3. the union of the shared windows of a record gives its number of shared code points.
+1. one pass over the texts writes the runs (anchor, hash of the whole run, place, number of windows);
+2. a Count-min sketch of the anchors (once per record) is filled per map task and merged by addition. It has CELLS cells a row for
+   each anchor counted and stays a table of its cells in use, so its load is the same at every size and no task holds it. Runs
+   are looked up in the cells counted at least twice, one row of the sketch after the other; it overestimates only, so an anchor
+   that two records share always passes;
+3. the runs that pass are grouped exactly: equal runs of different records are shared whole; of anchors with several kinds of run,
+   single windows are compared by hash, for which one run of each kind is cut out of its text;
+4. the union of the shared windows of a record gives its number of shared code points.
 
 "In another record" is decided by the smallest and largest record of a group, so groups of any size combine before the
 shuffle and no pairs are formed. Windows are equal if their 64-bit hashes and those of their anchors are equal.
@@ -21,12 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import keep
-from .rolling import Prefix, code_points, mix, row_blocks, runs, slices, sliding_min
+from .rolling import Prefix, code_points, row_blocks, runs, slices, sliding_min
 
 SPAN, GRAM = 200, 100
-#: Cells of a row of the sketch: a power of two of at least the input's stored bytes, up to MOST_CELLS (8 MB of bits a row are
-#: then broadcast; more anchors than that only let more through to the exact pass).
-ROWS, LEAST_CELLS, MOST_CELLS = 2, 1 << 16, 1 << 26
+#: Rows of the sketch, and cells of a row for each anchor counted: of the anchors of one record about (1/CELLS)**ROWS pass by chance.
+ROWS, CELLS = 2, 32
 
 
 def anchored(codes: np.ndarray, offsets: np.ndarray, span: int, gram: int):
@@ -52,98 +54,76 @@ def anchored(codes: np.ndarray, offsets: np.ndarray, span: int, gram: int):
         yield prefix, least[a], records[owner], a, b, begin
 
 
-def cells(anchors: np.ndarray, width: int) -> list[np.ndarray]:
-    """The cell of each anchor in each row of the sketch."""
-    return [(mix(anchors + np.uint64(0x9E3779B97F4A7C15) * np.uint64(row + 1)) & np.uint64(width - 1)).astype(np.int64) + row * width for row in range(ROWS)]
+RUNS = "anchor bigint, whole bigint, doc_id bigint, begin bigint, n bigint, fresh boolean"
 
 
-def width_of(documents: DataFrame) -> int:
-    size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(MOST_CELLS, max(LEAST_CELLS, 1 << max(0, size - 1).bit_length()))
-
-
-def repeated_cells(texts: DataFrame, width: int, span: int, gram: int) -> np.ndarray:
-    """The merged sketch as bits, ROWS * width of them: set where the count is at least two."""
-
-    def fill(batches):
-        counts: dict[int, np.ndarray] = {}
-        for _, text in ((row, text) for batch in batches for row, text in row_blocks(batch.column(0))):
-            codes, offsets = code_points(text)
-            for _, anchors, records, *_ in anchored(codes, offsets, span, gram):
-                order = np.lexsort((anchors, records))
-                anchors, records = anchors[order], records[order]
-                fresh = np.ones(len(anchors), dtype=bool)
-                fresh[1:] = (anchors[1:] != anchors[:-1]) | (records[1:] != records[:-1])
-                for row, cell in enumerate(cells(anchors[fresh], width)):
-                    if row not in counts:
-                        counts[row] = np.zeros(width, dtype=np.uint8)  # saturates at 2: more is not asked
-                    found, n = np.unique(cell - row * width, return_counts=True)
-                    counts[row][found] = np.minimum(2, counts[row][found] + np.minimum(n, 2).astype(np.uint8))
-        for row, counter in counts.items():
-            used = np.flatnonzero(counter)
-            for at in range(0, len(used), 1 << 16):
-                part = used[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64) + row * width), pa.array(counter[part].astype(np.int8))], names=["cell", "n"])
-
-    merged = texts.select("text").where(F.char_length("text") >= span).mapInArrow(fill, "cell bigint, n tinyint").groupBy("cell").agg(F.sum("n").alias("n")).where("n >= 2")
-    blocks = merged.select((F.col("cell") + 1).alias("cell")).groupBy(F.bitmap_bucket_number("cell").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
-    bits = np.zeros(ROWS * width // 8, dtype=np.uint8)
-    for block, part in blocks.toArrow().to_pandas().itertuples(index=False):  # at most ROWS * MOST_CELLS bits in all
-        bits[(block - 1) * 4096 : block * 4096] = np.frombuffer(part, dtype=np.uint8)[: len(bits) - (block - 1) * 4096]
-    return bits
-
-
-def passing(anchors: np.ndarray, bits: np.ndarray, width: int) -> np.ndarray:
-    """Whether the sketch's estimate of each anchor is at least two."""
-    good = np.ones(len(anchors), dtype=bool)
-    for cell in cells(anchors, width):
-        good &= (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
-    return good
-
-
-RUNS = "anchor bigint, whole bigint, doc_id bigint, begin bigint, n bigint, windows array<bigint>"
-
-
-def repeated_runs(texts: DataFrame, bits: np.ndarray, width: int, span: int, gram: int) -> DataFrame:
-    """The runs whose anchor passes the sketch: hash of the whole run, place, number of windows; the hash of each window
-    comes once per map task for equal runs."""
-    shared = texts.sparkSession.sparkContext.broadcast(bits)
+def all_runs(texts: DataFrame, span: int, gram: int) -> DataFrame:
+    """The runs of all texts; ``fresh`` marks one run of each anchor of a record (of each piece of a very long record)."""
 
     def emit(batches):
-        table, sent = shared.value, set()
         for names, row, text in ((batch.column(0), row, text) for batch in batches for row, text in row_blocks(batch.column(1))):
             ids = names.slice(row, len(text)).to_numpy(zero_copy_only=False)
             codes, offsets = code_points(text)
             for prefix, anchors, records, a, b, begin in anchored(codes, offsets, span, gram):
-                good = passing(anchors, table, width)
-                if not good.any():
-                    continue
-                anchors, records, a, b = anchors[good], records[good], a[good], b[good]
+                order = np.lexsort((anchors, records))
+                fresh = np.ones(len(anchors), dtype=bool)
+                fresh[order[1:]] = (anchors[order[1:]] != anchors[order[:-1]]) | (records[order[1:]] != records[order[:-1]])
                 whole = prefix.ranges(a, b + span - 1)
-                every = prefix.windows(span)
-                first = np.array([w not in sent and not sent.add(w) for w in zip(anchors.tolist(), whole.tolist(), strict=True)])
-                size = np.where(first, b - a, 0)
-                edges = np.zeros(len(a) + 1, dtype=np.int32)
-                np.cumsum(size, out=edges[1:])
-                flat = np.repeat(a[first] - edges[:-1][first], (b - a)[first]) + np.arange(edges[-1]) if edges[-1] else np.zeros(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(every[flat].view(np.int64)), mask=pa.array(~first))
-                yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(ids[records]), pa.array(begin + a - offsets[records]), pa.array(b - a), lists], names=["anchor", "whole", "doc_id", "begin", "n", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(ids[records]), pa.array(begin + a - offsets[records]), pa.array(b - a), pa.array(fresh)], names=["anchor", "whole", "doc_id", "begin", "n", "fresh"])
 
     return texts.select("doc_id", "text").where(F.char_length("text") >= span).mapInArrow(emit, RUNS)
 
 
+def cell(row: int, width: int) -> F.Column:
+    """The cell of an anchor in a row of the sketch; the rows follow each other."""
+    return F.pmod(F.xxhash64("anchor", F.lit(row)), F.lit(width)) + F.lit(row * width)
+
+
+def sketch(runs: DataFrame, width: int) -> DataFrame:
+    """(cell, n): the counts of the anchors, once per record, in ROWS rows of ``width`` cells. Sketches of parts add up."""
+    return runs.where("fresh").select(F.explode(F.array(*[cell(row, width) for row in range(ROWS)])).alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
+
+
+def passing(runs: DataFrame, width: int) -> DataFrame:
+    """The runs whose anchor is estimated to occur at least twice."""
+    twice = sketch(runs, width).where("n >= 2").select("cell")
+    out = runs.drop("fresh")
+    for row in range(ROWS):
+        out = out.withColumn("cell", cell(row, width)).join(twice, "cell", "left_semi").drop("cell")
+    return out
+
+
+def windows(pieces: DataFrame, span: int) -> DataFrame:
+    """(anchor, whole, n, low, high, at, window): the hash of each window of the pieces (anchor, whole, n, low, high, piece)."""
+
+    def hashes(batches):
+        for batch in batches:
+            for row, text in row_blocks(batch.column(5)):
+                codes, offsets = code_points(text)
+                for first, last, begin, end in slices(offsets, span):
+                    every = Prefix(codes[begin:end]).windows(span)
+                    starts = offsets[first:last] - begin
+                    size = np.maximum(offsets[first + 1 : last + 1] - offsets[first:last] - span + 1, 0)
+                    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                    of = pa.array(np.repeat(np.arange(row + first, row + last), size))
+                    yield pa.RecordBatch.from_arrays([*[c.take(of) for c in batch.columns[:5]], pa.array(at), pa.array(every[np.repeat(starts, size) + at].view(np.int64))], names=["anchor", "whole", "n", "low", "high", "at", "window"])
+
+    return pieces.select("anchor", "whole", "n", "low", "high", "piece").mapInArrow(hashes, "anchor bigint, whole bigint, n bigint, low bigint, high bigint, at bigint, window bigint")
+
+
 def shared_windows(documents: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """(doc_id, begin, n): stretches of n windows from begin (code point) that also occur in another record."""
     texts = documents.select("doc_id", "text")
-    width = width_of(texts)
-    bits = repeated_cells(texts, width, span, gram)
-    found = keep(repeated_runs(texts, bits, width, span, gram), "runs")
-    kinds = found.groupBy("anchor", "whole", "n").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("windows", ignorenulls=True).alias("windows"))
-    kinds = keep(kinds, "kinds")
+    every = keep(all_runs(texts, span, gram), "all-runs")
+    found = keep(passing(every, max(1, CELLS * every.count())), "runs")
+    kinds = found.groupBy("anchor", "whole", "n").agg(F.min(F.struct("doc_id", "begin")).alias("one"), F.max("doc_id").alias("high"))
+    kinds = keep(kinds.select("anchor", "whole", "n", F.col("one.doc_id").alias("low"), F.col("one.begin").alias("begin"), "high"), "kinds")
     full = found.select("anchor", "whole", "n", "doc_id", "begin").join(kinds.where("low < high").select("anchor", "whole", "n"), ["anchor", "whole", "n"], "left_semi").select("doc_id", "begin", "n")
     # windows of anchors with several kinds of run; whether another record has one is known from the extremes alone
     several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
-    mixed = kinds.join(several, "anchor", "left_semi").select("anchor", "whole", "n", "low", "high", F.posexplode("windows").alias("at", "window"))
+    cut = kinds.join(several, "anchor", "left_semi").join(texts.select(F.col("doc_id").alias("low"), "text"), "low")
+    cut = cut.select("anchor", "whole", "n", "low", "high", F.substr("text", (F.col("begin") + 1).cast("int"), (F.col("n") + (span - 1)).cast("int")).alias("piece"))
+    mixed = keep(windows(cut, span), "windows")
     twice = mixed.groupBy("anchor", "window").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("anchor", "window")
     parts = mixed.where("low = high").join(twice, ["anchor", "window"], "left_semi").select("anchor", "whole", "n", "at")
     # a run of one record may stand in it several times

@@ -34,13 +34,20 @@ def test_spans(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in docs], "doc_id bigint, text string, n int, windows int")
     want = shared(docs, 40)
     assert {r.doc_id: r.shared_chars for r in spans.found(df, 40, 20).collect()} == want
-    monkeypatch.setattr(spans, "MOST_CELLS", 64)  # a sketch that lets all through loses and adds nothing
-    monkeypatch.setattr(spans, "LEAST_CELLS", 64)
-    monkeypatch.setattr(spans, "width_of", lambda _: 32768)
+    monkeypatch.setattr(spans, "CELLS", 0)  # a sketch of one cell a row, which lets all through, loses and adds nothing
     assert {r.doc_id: r.shared_chars for r in spans.found(df, 40, 20).collect()} == want
     assert spans.found(df.where("false"), 40, 20).count() == 0
 
 
+def test_the_sketch_lets_few_more_through_at_any_load(spark):
+    for n in (20_000, 200_000):
+        runs = spark.range(n).selectExpr("xxhash64(id) as anchor", "id as doc_id", "true as fresh").unionByName(spark.range(n // 25).selectExpr("xxhash64(id) as anchor", "-id - 1 as doc_id", "true as fresh"))
+        passed = spans.passing(runs, spans.CELLS * runs.count())
+        again = spark.range(n // 25).selectExpr("xxhash64(id) as anchor")
+        assert passed.join(again, "anchor", "left_semi").count() == 2 * (n // 25)
+        assert passed.count() <= 1.1 * 2 * (n // 25)
+
+
 def test_long_rows_are_sliced():
     offsets = np.array([0, 5, 1000, 1003])
     got = set()
