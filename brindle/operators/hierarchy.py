@@ -2,8 +2,8 @@
 
 Each round joins the pointers that have not yet arrived with the pointers of the rows they name, so the distance
 that a pointer spans doubles and a tree of depth d takes about log2(d) rounds. Rows that do not arrive at a top
-lead into a cycle. Arrived rows leave the joins. No group is gathered: a parent with a third of all rows as
-children is one hot join key whose other side has one row, which adaptive execution splits.
+lead into a cycle. Arrived rows take no more steps; they are only looked up. No group is gathered: a parent with a third of all
+rows as children is one hot join key whose other side has one row, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import keep
+from ..session import counted, drop, keep
 
 SPACE = r"^[\s\u0085\u00a0\u2000-\u200a\u2028\u2029\u202f\u3000]+|[\s\u0085\u00a0\u2000-\u200a\u2028\u2029\u202f\u3000]+$"
 
@@ -41,26 +41,28 @@ def climb(links: DataFrame, with_paths: bool = False, label: str = "climb") -> t
 
     Returns (code, top, depth[, path]) of the rows that arrive, path from the top to the row, and (code, parent) of the
     rows that do not (None if all arrive). Stops in the round in which no row arrives: depths have no gaps, so none is
-    deeper.
+    deeper. A round is one job, which counts what it writes; rows that wait and rows that have arrived are written apart.
     """
-    seed = links.select("code", F.col("parent").alias("at"), F.lit(1).cast("bigint").alias("steps"), *([F.array("code").alias("path")] if with_paths else []))
-    top = seed.where("at is null").select("code", F.col("code").alias("top"), F.lit(0).cast("bigint").alias("depth"), *(["path"] if with_paths else []))
-    done, waiting = keep(top, f"{label}-top"), keep(seed.where("at is not null"), f"{label}-0")
-    left, arrived, turn = waiting.count(), done, 0
-    while left:
+    path, parts = (["path"], ["head"]) if with_paths else ([], [])
+    still = {"left": F.count_if(F.col("at").isNotNull())}
+    seed = links.select("code", "parent", F.when(F.col("parent").isNull(), F.col("code")).alias("top"), F.col("parent").alias("at"), F.col("parent").isNotNull().cast("bigint").alias("steps"), *([F.array("code").alias("path")] if with_paths else []), F.col("parent").isNull().alias("gone"))
+    step, seen = counted(seed, f"{label}-0", "gone", **still)
+    arrived, left, turn = None, seen.left, 0
+    while True:
+        fresh = step.where("gone").select("code", "top", F.col("steps").alias("depth"), *path)
+        arrived = fresh if arrived is None else arrived.unionByName(fresh)
+        if not left:
+            return arrived, None
         turn += 1
+        waiting = step.where("not gone").select("code", "parent", "at", "steps", *path)
         # a waiting pointer meets either a row that has arrived or the pointer of a row that waits too
-        met = done.select(F.col("code").alias("at"), F.col("top"), F.col("depth").alias("more"), F.lit(None).cast("string").alias("next"), *([F.col("path").alias("head")] if with_paths else [])).unionByName(waiting.select(F.col("code").alias("at"), F.lit(None).cast("string").alias("top"), F.col("steps").alias("more"), F.col("at").alias("next"), *([F.col("path").alias("head")] if with_paths else [])))
-        step = waiting.join(met, "at").select("code", "top", F.col("next").alias("at"), (F.col("steps") + F.col("more")).alias("steps"), *([F.concat("head", "path").alias("path")] if with_paths else []))
-        step = keep(step, f"{label}-{turn}")
-        fresh = step.where("top is not null").select("code", "top", F.col("steps").alias("depth"), *(["path"] if with_paths else []))
-        waiting = step.where("top is null").select("code", "at", "steps", *(["path"] if with_paths else []))
-        still = waiting.count()
-        done = arrived = arrived.unionByName(fresh)
-        if still == left:
-            return arrived, links.join(waiting.select("code"), "code", "left_semi")
-        left = still
-    return arrived, None
+        met = arrived.select(F.col("code").alias("at"), "top", F.col("depth").alias("more"), F.lit(None).cast("string").alias("next"), *[F.col(c).alias("head") for c in path])
+        met = met.unionByName(waiting.select(F.col("code").alias("at"), F.lit(None).cast("string").alias("top"), F.col("steps").alias("more"), F.col("at").alias("next"), *[F.col(c).alias("head") for c in path]))
+        joined = waiting.join(met, "at").select("code", "parent", "top", F.col("next").alias("at"), (F.col("steps") + F.col("more")).alias("steps"), *[F.concat(h, p).alias(p) for h, p in zip(parts, path, strict=True)], F.col("top").isNotNull().alias("gone"))
+        step, seen = counted(joined, f"{label}-{turn}", "gone", **still)
+        if seen.left == left:
+            return arrived, step.select("code", "parent")
+        left = seen.left
 
 
 def cycles(links: DataFrame, label: str = "cycle") -> DataFrame:
@@ -69,17 +71,19 @@ def cycles(links: DataFrame, label: str = "cycle") -> DataFrame:
     Pointers double until as many rows are rested on as a round before (then every pointer rests on a cycle, and each row of
     a cycle is rested on) and no minimum over the steps taken has changed (then it is the minimum of the cycle).
     """
-    turn, rested = 0, links.count()
+    turn, rested = 0, -1
     state = keep(links.select("code", F.col("parent").alias("at"), F.col("code").alias("least")), f"{label}-0")
     while True:
         turn += 1
         step = state.join(state.select(F.col("code").alias("at"), F.col("at").alias("next"), F.col("least").alias("other")), "at")
-        step = keep(step.select("code", F.col("next").alias("at"), F.least("least", "other").alias("least"), (F.col("other") < F.col("least")).alias("changed")), f"{label}-{turn}")
-        now, changed = step.agg(F.count_distinct("at"), F.count_if("changed")).first()
-        state = step.drop("changed")
-        if now == rested and not changed:
-            break
-        rested = now
+        step, seen = counted(step.select("code", F.col("next").alias("at"), F.least("least", "other").alias("least"), (F.col("other") < F.col("least")).alias("changed")), f"{label}-{turn}", changed=F.count_if(F.col("changed")))
+        drop(state)
+        state = step
+        if not seen.changed:
+            now = state.agg(F.count_distinct("at")).first()[0]
+            if now == rested:
+                break
+            rested = now
     return state.join(state.select(F.col("at").alias("code")).distinct(), "code", "left_semi").select("code", F.col("least").alias("root"))
 
 
@@ -100,7 +104,6 @@ def hierarchy(nodes: DataFrame, with_paths: bool = True) -> DataFrame:
     tops = links.where("lost").select(F.col("code").alias("top"), F.lit("orphan").alias("kind"))
     found = arrived.join(tops, "top", "left").select("code", F.coalesce("kind", F.lit("tree")).alias("kind"), F.col("top").alias("root"), "depth", *path)
     if circling is not None:
-        circling = keep(circling, "circling")
         ring = keep(cycles(circling), "ring")
         found = found.unionByName(ring.select("code", F.lit("on_cycle").alias("kind"), "root", F.lit(0).cast("bigint").alias("depth"), *([F.array("code").alias("path")] if with_paths else [])))
         onto = circling.join(ring.select("code", F.lit(True).alias("ring")), "code", "left").select("code", F.when(F.col("ring").isNull(), F.col("parent")).alias("parent"))

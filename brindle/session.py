@@ -5,9 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -42,18 +43,38 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
+def keep(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write the rows as a table in the shared folder and read that: a cut of the lineage which outlives lost executors.
 
-    The table is marked for deletion at the end of the JVM.
+    ``by`` names a boolean column into whose values the table is split, so that a filter on it reads no other rows.
+    The table is marked for deletion at the end of the JVM; ``drop`` deletes it earlier.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/brindle/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    _files(spark, path, lambda files, target: files.deleteOnExit(target))
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._brindle_path = path
+    return kept
+
+
+def counted(df: DataFrame, label: str, by: str | None = None, **counts: Column) -> tuple[DataFrame, Row]:
+    """``keep``, and aggregates of the rows that are taken while they are written."""
+    seen = Observation()
+    kept = keep(df.observe(seen, *[c.alias(name) for name, c in counts.items()]), label, by)
+    return kept, Row(**seen.get)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``keep`` wrote and nothing will read again."""
+    for df in tables:
+        _files(df.sparkSession, df._brindle_path, lambda files, target: files.delete(target, True))
+
+
+def _files(spark: SparkSession, path: str, act: Callable) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    act(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target)
 
 
 def ship(spark: SparkSession) -> None:
