@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..tables import table
 from . import conversations, leaks, neighbours, pairs, quantiles, spans, splitting, tokens
@@ -35,6 +36,15 @@ def p5_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return quantiles.quantiles(quantiles.roll_up(days, ["trace_name"]), ["trace_name"], [5, 25, 50, 75, 95, 99])
 
 
+def p5_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles per trace_name by sketches, as to whether their rank in the table is right to within one in a hundred of the rows."""
+    runs = quantiles.successful(table(spark, folder, "t_rag_trace_run", "trace_id", "trace_name", "status", "start_time", "duration_ms", "deleted"))
+    made = quantiles.quantiles(quantiles.sketch(runs, ["trace_name"], "duration_ms"), ["trace_name"], [5, 25, 50, 75, 95, 99])
+    rank = F.ceil(F.col("n") * F.col("q") / 100)
+    within = (F.col("below") - F.col("n") / 100 < rank) & (rank <= F.col("upto") + F.col("n") / 100)
+    return quantiles.ranks(made, runs, ["trace_name"], "duration_ms").select("trace_name", "q", "n", within.alias("within"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.found(table(spark, folder, "t_knowledge_vector", "id", "embedding"))
 
@@ -63,4 +73,4 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return spans.found(table(spark, folder, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p5_found, p5_percentiles, p6_found, p7_found, p7_conversations, p8_ids, p9_found, p9_alignments, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p5_found, p5_percentiles, p5_bounds, p6_found, p7_found, p7_conversations, p8_ids, p9_found, p9_alignments, p10_found)}

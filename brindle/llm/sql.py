@@ -15,6 +15,12 @@ v AS (
   FROM (SELECT DISTINCT conversation_id FROM t_conversation WHERE deleted = 0 AND conversation_id IS NOT NULL) c LEFT JOIN f ON c.conversation_id = f.conversation_id)
 """
 
+_RUNS = r"""
+WITH g AS (
+  SELECT strftime(start_time, '%Y-%m-%d') AS trace_day, trace_name, duration_ms FROM (
+    SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY start_time, duration_ms, trace_name) AS rn FROM t_rag_trace_run
+    WHERE deleted = 0 AND duration_ms >= 0 AND upper(regexp_replace(status, '^\s+|\s+$', '', 'g')) = 'SUCCESS') WHERE rn = 1)"""
+
 SQL = {
     "p1_found": r"""
 WITH d AS (SELECT DISTINCT sdoc_id, text, sections FROM structured_document),
@@ -29,13 +35,10 @@ n AS (SELECT id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE list_dot_prod
 p AS (SELECT a.id AS a, b.id AS b, round(list_dot_product(a.e, b.e) / (a.n * b.n), 6) AS c FROM n a JOIN n b ON a.id <> b.id),
 r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS rank FROM p WHERE c >= 0.9)
 SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE rank <= 5""",
-    "p5_found": r"""
-WITH g AS (
-  SELECT strftime(start_time, '%Y-%m-%d') AS trace_day, trace_name, duration_ms FROM (
-    SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY start_time, duration_ms, trace_name) AS rn FROM t_rag_trace_run
-    WHERE deleted = 0 AND duration_ms >= 0 AND upper(regexp_replace(status, '^\s+|\s+$', '', 'g')) = 'SUCCESS') WHERE rn = 1),
+    "p5_found": _RUNS + r""",
 p AS (SELECT trace_day, trace_name, quantile_disc(duration_ms, 0.5) AS p50, quantile_disc(duration_ms, 0.95) AS p95 FROM g GROUP BY 1, 2)
 SELECT trace_day, trace_name, 50 AS q FROM p WHERE p50 > 5000 UNION ALL SELECT trace_day, trace_name, 95 AS q FROM p WHERE p95 > 20000""",
+    "p5_bounds": _RUNS + " SELECT trace_name, q::INT AS q, n, true AS within FROM (SELECT trace_name, count(*) AS n FROM g WHERE trace_name IS NOT NULL GROUP BY 1), unnest([5, 25, 50, 75, 95, 99]) AS u(q)",
     "p7_found": _TURNS + "SELECT conversation_id, reason FROM v WHERE reason IS NOT NULL",
     "p7_conversations": _TURNS + "SELECT conversation_id, turn, part AS role, id FROM t WHERE conversation_id IN (SELECT conversation_id FROM v WHERE reason IS NULL)",
 }

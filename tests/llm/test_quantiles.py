@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from brindle.llm import quantiles as q
@@ -28,11 +30,35 @@ def test_error_merge_and_delete(spark):
     assert q.quantiles(q.merge(cells[0], q.negated(cells[0])), ["g"], [50]).count() == 0
 
 
-def test_estimated_levels(spark):
-    """More distinct codes than the exact levels hold, in a group of a third of all rows."""
-    df = spark.range(60000).select(F.lit("g").alias("g"), F.floor(F.exp(F.col("id") / 60000 * 30)).cast("bigint").alias("v"))
-    for r in q.quantiles(q.sketch(df, ["g"], "v"), ["g"], [10, 50, 90]).collect():
-        assert abs(r.value / 2.718281828 ** (30 * r.q / 100) - 1) < 0.2
+def allowed(values):
+    """The sum over the estimated levels of the stated error."""
+    codes, total = q.encode(np.array(values)), 0.0
+    for level in range(q.BITS + 1):
+        _, n = np.unique(codes >> (q.BITS - level), return_counts=True)
+        total += q.bound(float((n.astype(float) ** 2).sum()), level)
+    return total
+
+
+def test_rank_error_on_estimated_levels(spark):
+    """Far more distinct codes than any level has counters; the stated bound holds and is of use."""
+    rng = np.random.default_rng(4)
+    kinds = {"wide": np.exp(rng.random(40000) * 30), "narrow": rng.lognormal(8, 0.4, 40000), "third": np.where(rng.random(40000) < 0.34, 7777, rng.lognormal(8, 1, 40000)), "even": np.arange(40000) + 1_000_000}
+    data = {g: np.floor(v).astype(np.int64) for g, v in kinds.items()}
+    df = spark.createDataFrame(pd.DataFrame({"g": np.repeat(list(data), 40000), "v": np.concatenate(list(data.values()))}))
+    assert len(np.unique(q.encode(data["even"]))) == 40000 > q.BEGINS[-1]
+    got = q.quantiles(q.sketch(df, ["g"], "v"), ["g"], [1, 10, 25, 50, 75, 90, 99])
+    for r in q.ranks(got, df, ["g"], "v").collect():
+        rank, most = -(-r.n * r.q // 100), allowed(data[r.g])
+        assert r.n == 40000 and r.below - most < rank <= r.upto + most, r
+        assert r.below - 0.01 * r.n < rank <= r.upto + 0.01 * r.n, r
+
+
+def test_codes():
+    values = np.array([0, 1, 2, 3, 1000, 65535, 2**26 - 2, 2**40 + 12345, 2**62])
+    codes = q.encode(values)
+    assert (np.diff(codes) > 0).all() and codes.max() < 2**q.BITS
+    for v, c in zip(values.tolist(), codes.tolist(), strict=True):
+        assert q.decode(c) == v if v < 2**26 else abs(q.decode(c) / v - 1) < 2**-25
 
 
 def test_edges(spark):
