@@ -28,35 +28,40 @@ def positions(messages: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return placed, circling
 
 
-def _placed(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def placed(messages: DataFrame) -> DataFrame:
+    """The rows that count with their place: (conversation_id, id, role, prev_role, blank, root, depth, orphan). The parent of a row
+    is the row before it; root and depth are null for a row on or below a cycle."""
     rows = linked(turns(messages, blank=blank(F.col("content"))), ["id", "role"], "turn-rows")
-    placed, _ = positions(rows.select("id", F.col("prev_id").alias("parent_id")))
-    return rows, placed
+    found, _ = positions(rows.select("id", F.col("prev_id").alias("parent_id")))
+    return keep(rows.select("conversation_id", "id", "role", "prev_role", "blank").join(found, "id", "left"), "turns")
 
 
-def verdicts(messages: DataFrame, conversations: DataFrame) -> DataFrame:
-    """(conversation_id, reason) of every live conversation id; reason is null for a sound one, else the first of
-    'empty', 'broken', 'missing_reply' that holds. All of it combines before the shuffle."""
-    rows, placed = _placed(messages)
-    turn = rows.join(placed.select("id", "depth"), "id")
+def verdicts(turn: DataFrame, conversations: DataFrame) -> DataFrame:
+    """(conversation_id, reason) of every live conversation id, from the rows of ``placed``; reason is null for a sound one, else
+    the first of 'empty', 'broken', 'missing_reply' that holds. A conversation is sound if its rows are one path from a user's row
+    at depth 0, user and assistant in turn; an orphan, a cycle, or rows that lead to several roots break it. All of it combines
+    before the shuffle."""
+    at = F.col("depth")
     flags = turn.groupBy("conversation_id").agg(
         F.min("blank").alias("blank"),
-        F.max(F.col("role").isNull() | ((F.col("role") == "assistant") & ((F.col("depth") == 0) | (F.col("prev_role") == "assistant")))).alias("broken"),
+        F.max(at.isNull() | F.col("orphan") | F.col("role").isNull() | ((F.col("role") == "assistant") & ((at == 0) | (F.col("prev_role") == "assistant")))).alias("broken"),
+        (F.min("root") != F.max("root")).alias("apart"),
         F.count_if(F.col("role") == "user").alias("asked"),
-        F.count_if((F.col("role") == "assistant") & (F.col("prev_role") == "user") & ~F.col("blank")).alias("answered"),
+        F.count_if((F.col("role") == "assistant") & (at > 0) & (F.col("prev_role") == "user") & ~F.col("blank")).alias("answered"),
     )
     live = conversations.where((F.col("deleted") == 0) & F.col("conversation_id").isNotNull()).select("conversation_id").distinct()
-    reason = F.when(F.coalesce("blank", F.lit(True)), "empty").when(F.coalesce("broken", F.lit(False)), "broken").when(F.col("asked") > F.col("answered"), "missing_reply")
+    broken = F.coalesce("broken", F.lit(False)) | F.coalesce("apart", F.lit(False))
+    reason = F.when(F.coalesce("blank", F.lit(True)), "empty").when(broken, "broken").when(F.col("asked") > F.col("answered"), "missing_reply")
     return live.join(flags, "conversation_id", "left").select("conversation_id", reason.alias("reason"))
 
 
 def found(messages: DataFrame, conversations: DataFrame) -> DataFrame:
     """(conversation_id, reason) of the conversations to be dropped."""
-    return verdicts(messages, conversations).where("reason is not null")
+    return verdicts(placed(messages), conversations).where("reason is not null")
 
 
 def rebuilt(messages: DataFrame, conversations: DataFrame) -> DataFrame:
     """The sound conversations: conversation_id, turn (from 0), role, id; content joins by id."""
-    rows, placed = _placed(messages)
-    sound = verdicts(messages, conversations).where("reason is null").select("conversation_id")
-    return rows.select("id", "conversation_id", "role").join(placed.select("id", "depth"), "id").join(sound, "conversation_id", "left_semi").select("conversation_id", F.col("depth").alias("turn"), "role", "id")
+    turn = placed(messages)
+    sound = verdicts(turn, conversations).where("reason is null").select("conversation_id")
+    return turn.join(sound, "conversation_id", "left_semi").select("conversation_id", F.col("depth").alias("turn"), "role", "id")
