@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .delivery import event_key
+
 
 def last_turns(messages: DataFrame, n: int) -> DataFrame:
     """The last n rows per conversation by (create_time, id), with ``back`` (1 is the last). The limit applies before the shuffle."""
@@ -35,9 +37,10 @@ def compaction(messages: DataFrame, summaries: DataFrame, trigger: int, keep: in
 
 def latest_votes(feedback: DataFrame) -> DataFrame:
     """(message_id, user_id, vote, reason, submit_time) per message and user of the latest submission; a later arrival with an
-    earlier submit time does not overwrite. Ties: the first received, then the smallest delivery_id."""
+    earlier submit time does not overwrite. Both ids lose outer white space, as events do. Ties: the first received, then the smallest delivery_id."""
     rank = F.struct((-F.col("submit_time")).alias("s"), F.col("received_at"), F.col("delivery_id"), F.col("vote"), F.col("reason"))
-    last = feedback.groupBy(F.trim("message_id").alias("message_id"), F.trim("user_id").alias("user_id")).agg(F.min(rank).alias("r"))
+    key = [k.alias(c) for k, c in zip(event_key({"message_id": True, "user_id": True}), ("message_id", "user_id"), strict=True)]
+    last = feedback.select(*key, rank.alias("r")).groupBy("message_id", "user_id").agg(F.min("r").alias("r"))
     return last.select("message_id", "user_id", "r.vote", "r.reason", (-F.col("r.s")).alias("submit_time"))
 
 

@@ -14,15 +14,17 @@ def cap(scores: DataFrame, least: float = LEAST, each: int = PER_QUESTION, most:
     """Of (session, question, item, score): scores of at least ``least``, the best ``each`` per question; then per session the best
     of every question, even if these are more than ``most``, and the best others up to ``most``. Ties by question and item.
 
-    The first step limits rows before its shuffle, so that a session's second step sees at most ``each`` rows a question.
+    Both rankings limit rows before their shuffle (the second to ``most`` a session), so a session with a third of all rows sends
+    no more than that from a task.
     """
     by = Window.partitionBy("session", "question").orderBy(F.col("score").desc(), "item")
     some = scores.where(F.col("score") >= least).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= each)
-    whole = Window.partitionBy("session")
-    some = some.withColumn("questions", F.count_if(F.col("rank") == 1).over(whole))
-    others = Window.partitionBy("session", F.col("rank") == 1).orderBy(F.col("score").desc(), "question", "item")
-    kept = some.withColumn("place", F.row_number().over(others)).where((F.col("rank") == 1) | (F.col("place") <= F.lit(most) - F.col("questions")))
-    return kept.select("session", "question", "item", "score", "rank")
+    best = some.where("rank = 1").select("session", "question", "item", "score", "rank")
+    asked = best.groupBy(F.col("session").alias("_session")).agg(F.count("*").alias("questions"))
+    others = Window.partitionBy("session").orderBy(F.col("score").desc(), "question", "item")
+    more = some.where("rank > 1").withColumn("place", F.row_number().over(others)).where(F.col("place") <= most)
+    more = more.join(asked, F.col("session").eqNullSafe(F.col("_session"))).where(F.col("place") <= F.lit(most) - F.col("questions"))
+    return best.unionByName(more.select(*best.columns))
 
 
 def by_kind(scores: DataFrame, least: float = LEAST) -> DataFrame:

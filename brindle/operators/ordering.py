@@ -65,3 +65,19 @@ def with_previous(rows: DataFrame, key: str, order: list[str], carry: list[str],
     stitched = {f"prev_{c}": F.when(F.col("_first") & F.col("_tail._key").eqNullSafe(F.col(key)) & F.col("_tail").isNotNull(), F.col(f"_tail._c{i}")).otherwise(F.col(f"prev_{c}")) for i, c in enumerate(carry)}
     result = joined.withColumns(stitched).drop("_part", "_first", "_last", "_tail")
     return result.where(only) if only is not None else result
+
+
+def numbered(rows: DataFrame, order: list[F.Column], name: str, label: str = "numbered") -> DataFrame:
+    """Adds the place of each row (from 1) in an order over all rows, which should be total, without one task for all.
+
+    Rows are split by range and sorted within the parts; a part starts after the rows of those before it, of which the counts (one
+    row a part) are broadcast.
+    """
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()  # the number of the part, shifted by 33 bits, and the place in it
+    kept = keep(parts.withColumn("_at", at), label)
+    kept = kept.withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    counts = kept.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
+    return kept.join(F.broadcast(begins), "_part").withColumn(name, (F.col("_begin") + F.col("_at") + 1).cast("bigint")).drop("_part", "_begin", "_at")

@@ -1,5 +1,5 @@
 """Registered queries of the core and the SQL they are held against."""
 
-from . import general, keeping, measuring, retrieving, texts
+from . import engines, general, keeping, measuring, retrieving, texts
 
-MODULES = (general, texts, retrieving, measuring, keeping)
+MODULES = (general, texts, retrieving, engines, measuring, keeping)

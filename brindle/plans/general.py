@@ -39,7 +39,14 @@ def p4_events(spark: SparkSession, folder: str) -> DataFrame:
     return delivery.distinct_events(rows, delivery.FEEDBACK_KEY).select("delivery_id", "batch_id", "message_id", "user_id", "vote", "reason", "comment_text", "submit_time", "received_at")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_paths, p3_descendants, p4_found, p4_events)}
+def p4_new(spark: SparkSession, folder: str) -> DataFrame:
+    """The events of half of the batches that the other half, which stands for what is stored, does not hold."""
+    rows = table(spark, folder, "message_feedback_event", "delivery_id", "batch_id", "message_id", "user_id", "submit_time", "received_at")
+    late = F.coalesce(F.md5("batch_id") < "8", F.lit(False))
+    return delivery.new_events(rows.where(late), rows.where(~late), delivery.FEEDBACK_KEY).select("delivery_id", "batch_id")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_paths, p3_descendants, p4_found, p4_events, p4_new)}
 
 _NODES = r"""
 WITH RECURSIVE latest AS (
@@ -70,6 +77,10 @@ WHERE kind <> 'tree' OR level IS NULL OR level <> depth""",
     "p4_found": r"""
 SELECT delivery_id FROM (SELECT delivery_id, row_number() OVER (PARTITION BY regexp_replace(message_id, '^\s+|\s+$', '', 'g'), regexp_replace(user_id, '^\s+|\s+$', '', 'g'), submit_time
   ORDER BY received_at, delivery_id) AS rn FROM message_feedback_event) WHERE rn > 1""",
+    "p4_new": r"""
+WITH k AS (SELECT delivery_id, batch_id, received_at, coalesce(md5(batch_id) < '8', false) AS late, regexp_replace(message_id, '^\s+|\s+$', '', 'g') AS m, regexp_replace(user_id, '^\s+|\s+$', '', 'g') AS u, submit_time AS s FROM message_feedback_event),
+r AS (SELECT *, row_number() OVER (PARTITION BY m, u, s ORDER BY received_at, delivery_id) AS rn FROM k WHERE late)
+SELECT delivery_id, batch_id FROM r WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM k WHERE NOT late AND k.m IS NOT DISTINCT FROM r.m AND k.u IS NOT DISTINCT FROM r.u AND k.s IS NOT DISTINCT FROM r.s)""",
     "p4_events": r"""
 SELECT delivery_id, batch_id, message_id, user_id, vote, reason, comment_text, submit_time, received_at FROM (SELECT *, row_number() OVER (PARTITION BY regexp_replace(message_id, '^\s+|\s+$', '', 'g'),
   regexp_replace(user_id, '^\s+|\s+$', '', 'g'), submit_time ORDER BY received_at, delivery_id) AS rn FROM message_feedback_event) WHERE rn = 1""",

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..operators import conversation, ingest, state
+from ..operators.hierarchy import SPACE
 from ..sources import vectors
 from ..streaming import streams
 from ..tables import active, table
@@ -57,8 +58,8 @@ def compaction_range(spark, folder):
 
 
 _VOTES = """
-v AS (SELECT message_id, user_id, vote, reason, submit_time FROM (SELECT trim(message_id) AS message_id, trim(user_id) AS user_id, vote, reason, submit_time,
-  row_number() OVER (PARTITION BY trim(message_id), trim(user_id) ORDER BY submit_time DESC, received_at, delivery_id) AS rn FROM message_feedback_event) WHERE rn = 1)
+v AS (SELECT message_id, user_id, vote, reason, submit_time FROM (SELECT regexp_replace(message_id, '^\\s+|\\s+$', '', 'g') AS message_id, regexp_replace(user_id, '^\\s+|\\s+$', '', 'g') AS user_id, vote, reason, submit_time,
+  row_number() OVER (PARTITION BY regexp_replace(message_id, '^\\s+|\\s+$', '', 'g'), regexp_replace(user_id, '^\\s+|\\s+$', '', 'g') ORDER BY submit_time DESC, received_at, delivery_id) AS rn FROM message_feedback_event) WHERE rn = 1)
 """
 
 
@@ -140,9 +141,12 @@ def refresh_change_detect(spark, folder):
     return state.refresh(now.drop("n"), before, "doc_id")
 
 
-@query(f"SELECT id, CASE WHEN upper(trim(status)) = 'RUNNING' AND start_time < {_NOW} - INTERVAL 30 MINUTE THEN 'FAILED' ELSE upper(trim(status)) END AS status FROM t_rag_trace_run")
+_STATUS = "upper(regexp_replace(status, '^\\s+|\\s+$', '', 'g'))"
+
+
+@query(f"SELECT id, CASE WHEN {_STATUS} = 'RUNNING' AND start_time < {_NOW} - INTERVAL 30 MINUTE THEN 'FAILED' ELSE {_STATUS} END AS status FROM t_rag_trace_run")
 def stuck_recovery(spark, folder):
-    rows = table(spark, folder, "t_rag_trace_run", "id", "status", "start_time").select("id", F.upper(F.trim("status")).alias("status"), F.col("start_time").alias("update_time"))
+    rows = table(spark, folder, "t_rag_trace_run", "id", "status", "start_time").select("id", F.upper(F.regexp_replace("status", SPACE, "")).alias("status"), F.col("start_time").alias("update_time"))
     return state.recover(rows, AS_OF, 30).select("id", "status")
 
 
@@ -196,14 +200,14 @@ def pipeline_node_log(spark, folder):
 
 
 @query("""
-WITH d AS (SELECT doc_id, lang, source, kb_id FROM documents WHERE lang IS NOT NULL OR kb_id IS NULL)
+WITH d AS (SELECT doc_id, lang, source, kb_id FROM documents)
 SELECT doc_id, '{' || '"chunk_index":"0","doc_id":"' || doc_id || '"' || CASE WHEN kb_id IS NOT NULL THEN ',"kb_id":"' || kb_id || '"' ELSE '' END || coalesce(',"source":"' || source || '"', '') || '}' AS metadata FROM d""")
 def indexer_metadata(spark, folder):
-    rows = table(spark, folder, "documents", "doc_id", "lang", "source", "kb_id").where("lang is not null or kb_id is null")
+    rows = table(spark, folder, "documents", "doc_id", "lang", "source", "kb_id")
     document = F.create_map(F.lit("source"), F.lit("?"), F.lit("kb_id"), F.col("kb_id"), F.lit("lang"), F.col("lang"))
     chunk = F.create_map(F.lit("source"), F.col("source"), F.lit("doc_id"), F.lit("?"))
     made = ingest.indexed_metadata(document, chunk, ["source", "kb_id", "doc_id"], {"doc_id": F.col("doc_id"), "chunk_index": F.lit(0)})
-    return rows.where("source is not null").select("doc_id", made.alias("metadata"))
+    return rows.select("doc_id", made.alias("metadata"))
 
 
 @query("SELECT id, metadata->>'doc_id' AS doc_id, '9' AS chunk_index, metadata->>'keywords' IS NOT NULL AS has_keywords FROM t_knowledge_vector WHERE metadata IS NOT NULL")
@@ -219,7 +223,7 @@ def breaker_states(spark, folder):
     """Calls of each trace_name: runs in order of start."""
     runs = active(table(spark, folder, "t_rag_trace_run", "id", "trace_name", "status", "start_time", "deleted"))
     at = F.timestamp_diff("MILLISECOND", F.lit(datetime(2026, 1, 1)).cast("timestamp_ntz"), F.col("start_time"))
-    calls = runs.where("start_time is not null").select("trace_name", at.alias("at_ms"), F.col("id").alias("call_id"), (F.upper(F.trim("status")) != "ERROR").alias("ok"))
+    calls = runs.where("start_time is not null").select("trace_name", at.alias("at_ms"), F.col("id").alias("call_id"), (F.upper(F.regexp_replace("status", SPACE, "")) != "ERROR").alias("ok"))
     return streams.breaker_states(calls, "trace_name")
 
 

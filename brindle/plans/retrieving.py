@@ -151,21 +151,26 @@ def kb_context(spark, folder):
 _AMB = """
 WITH n AS (SELECT id, any_value(intent_code) AS item, any_value(name) AS name, any_value(kb_id) AS system FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY update_time DESC) AS rn FROM t_intent_node) WHERE rn = 1 AND deleted = 0 GROUP BY 1),
 c AS (SELECT collection_name AS question, n.* FROM n JOIN (SELECT id AS kb, collection_name FROM t_knowledge_base) b ON n.system = b.kb),
-s AS (SELECT name[:2] AS question, name AS text, item, name[1:2] AS label, system, system AS system_name, round(('0x' || md5(item)[:4])::INT / 65535.0::DOUBLE, 4) AS score FROM n),
+s AS (SELECT name[:2] AS question, CASE WHEN md5(name[:2]) < '4' THEN name[:2] || min(system) OVER (PARTITION BY name[:2]) ELSE name[:2] END AS text, item, name[1:2] AS label, system, system AS system_name, round(('0x' || md5(item)[:4])::INT / 65535.0::DOUBLE, 4) AS score FROM n),
 g AS (SELECT *, lower(label) AS topic FROM s WHERE score >= 0.35 AND trim(label) <> ''),
 r AS (SELECT *, row_number() OVER (PARTITION BY question, topic ORDER BY score DESC, item) AS rank FROM g),
 p AS (SELECT question, topic, max(score) AS first, max(score) FILTER (rank = 2) AS second FROM r WHERE rank <= 2 GROUP BY 1, 2),
 y AS (SELECT question, topic, system, min(rank) AS rank FROM r WHERE system IS NOT NULL GROUP BY 1, 2, 3),
 b AS (SELECT question, topic FROM (SELECT p.*, row_number() OVER (PARTITION BY p.question ORDER BY first DESC, p.topic) AS rn FROM p JOIN (SELECT question, topic FROM y GROUP BY 1, 2 HAVING count(*) > 1) w ON p.question = w.question AND p.topic = w.topic WHERE second / first >= 0.8) WHERE rn = 1),
 o AS (SELECT y.*, row_number() OVER (PARTITION BY y.question ORDER BY rank, system) AS n FROM y JOIN b ON y.question = b.question AND y.topic = b.topic)
-SELECT question, topic, string_agg(system, ',' ORDER BY n) AS systems FROM o WHERE n <= 6 GROUP BY 1, 2"""
+SELECT o.question, topic, string_agg(system, ',' ORDER BY n) AS systems FROM o JOIN (SELECT question, max(text) AS text FROM s GROUP BY 1) x ON x.question = o.question
+WHERE n <= 6 GROUP BY 1, 2 HAVING NOT bool_or(contains(text, system))"""
 
 
 @query(_AMB)
 def intent_ambiguity(spark, folder):
-    """Questions are the first two signs of node names, topics too; systems are knowledge bases."""
+    """Questions are the first two signs of node names, topics too; systems are knowledge bases, of which some questions name one."""
     nodes = hierarchy.live_nodes(table(spark, folder, "t_intent_node", "id", "intent_code", "parent_code", "update_time", "deleted", "name", "kb_id"), keep_columns=("name", "kb_id"))
-    rows = nodes.select(F.substring("name", 1, 2).alias("question"), F.lit("").alias("text"), F.col("code").alias("item"), F.substring("name", 1, 2).alias("name"), F.col("kb_id").alias("system"), F.col("kb_id").alias("system_name"), hashed(F.col("code")).alias("score"))
+    asked = F.substring("name", 1, 2)
+    first = nodes.groupBy(asked.alias("question")).agg(F.min("kb_id").alias("first"))
+    text = first.select("question", F.when(F.md5("question") < "4", F.concat("question", "first")).otherwise(F.col("question")).alias("text"))
+    nodes = nodes.withColumn("question", asked).join(text, "question")
+    rows = nodes.select("question", "text", F.col("code").alias("item"), F.substring("name", 1, 2).alias("name"), F.col("kb_id").alias("system"), F.col("kb_id").alias("system_name"), hashed(F.col("code")).alias("score"))
     return intents.ambiguous(rows)
 
 
