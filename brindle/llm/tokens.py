@@ -122,9 +122,9 @@ def byte_pattern(unsafe: frozenset[tuple[int, int]]) -> str:
         bad.setdefault(a, []).append(b)
     free = "[\\x80-\\xbf" + (f"&&[^{''.join(f'\\x{a:02x}' for a in sorted(bad))}]" if bad else "") + "](?=[\\xe4-\\xe9])"
     last = "|".join([free, *(f"\\x{a:02x}(?=[\\xe4-\\xe9&&[^{''.join(f'\\x{b:02x}' for b in sorted(bs))}]])" for a, bs in sorted(bad.items()))])
-    quick = rf"\xe4[\xb8-\xbf](?:{last})|[\xe5-\xe9][\x80-\xbf](?:{last})| ?[A-Za-z]++(?![\x80-\xff])| ?[0-9]++(?![\x80-\xff])"
+    quick = rf"\xe4[\xb8-\xbf](?:{last})|[\xe5-\xe9][\x80-\xbf](?:{last})| ?[A-Za-z]++(?![\x80-\xff])| ?[0-9]++(?![\x80-\xff])|[\x09-\x0d](?=[!-~\xe5-\xe9])"
     plain = rf" ?[!-/:-@\[-`{{-~]++(?![\x00-\x08\x0e-\x1f\x7f-\xff])|(?:{marks})++(?=[\xe5-\xe9A-Za-z0-9\x09-\x0d ]|\xe4[\xb8-\xbf]|\z)"
-    return rf"{quick}|'(?:[stmd]|re|ve|ll)|{plain}| ?{letter}(?:(?!{cut}){letter})*+| ?{digit}++| ?{other}++|{space}+(?={space}|\z)|{space}+"
+    return rf"{quick}|'(?:[stmd]|re|ve|ll)|{plain}| ?{letter}(?:(?!{cut}){letter})*+| ?{digit}++| ?{other}++|(?:{space}(?={space}|\z))++|{space}"
 
 
 def words(text: Column, ranks: dict[bytes, int]) -> Column:
@@ -210,12 +210,9 @@ def encode(documents: DataFrame, path: str | None = None, common: int = COMMON)
     top = each.orderBy(F.col("count").desc(), "key").limit(common).select("key").repartition(spark.sparkContext.defaultParallelism)  # the limit leaves one partition
     known = literal(buckets(top.select("key", F.transform(F.array(ranks), lambda r: fold(F.col("key"), r))[0].alias("ids")), "ids"), "array<int>")
 
-    def ids(found: Column, tables: Column) -> Column:
-        return F.flatten(F.transform(found, lambda w: F.coalesce(look_up(tables["known"], w), fold(w, tables["ranks"]))))
-
-    # in structs, so that the plan holds each literal once and each text is cut once; null where a word is too long to fold
-    row = F.struct(cut.alias("words"), F.struct(ranks.alias("ranks"), known.alias("known")).alias("tables"))
-    made = F.transform(F.array(row), lambda x: F.when(~F.exists(x["words"], lambda w: F.length(w) > LONG), ids(x["words"], x["tables"])))[0]
+    # in a struct, so that the plan holds each literal once and each text is cut once; flattening gives null where a word is too long to fold
+    row = F.struct(cut.alias("words"), ranks.alias("ranks"), known.alias("known"))
+    made = F.transform(F.array(row), lambda x: F.flatten(F.transform(x["words"], lambda w: F.coalesce(look_up(x["known"], w), F.when(F.length(w) <= LONG, fold(w, x["ranks"]))))))[0]
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def heaped(batches):
