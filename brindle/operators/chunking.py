@@ -21,7 +21,10 @@ _BREAK = re.compile(rf"(?<=[{_WORD}])\n(?=[{_WORD}])")
 _SCHEME = re.compile("https?://")
 _ITEM = re.compile(r"[ \t]*\d+[.)）]")
 _BODY = re.compile(rf"[{_URL}]*")
-_GAP = re.compile(r"\s+")
+# What counts as white space (no-break spaces don't), and what a text without content may also hold.
+WHITE = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2008\u2009\u200a\u2028\u2029\u205f\u3000"
+NOTHING = WHITE + "\xa0\u2007\u202f\ufeff\u202a\0"
+_GAP = re.compile(f"[{WHITE}]+")
 
 
 def _units(text: str) -> str:
@@ -82,7 +85,7 @@ def _goes_on(text: str, before: int, after: int) -> bool:
 
 def fixed(text: str | None, size: int, overlap: int) -> list[str]:
     """Chunks of about ``size``, each beginning ``overlap`` before the end of the last one; size -1 gives one chunk."""
-    if not text or not text.strip():
+    if not text or not text.strip(WHITE):
         return []
     text = _units(rejoin(text))
     if size == -1:
@@ -95,7 +98,7 @@ def fixed(text: str | None, size: int, overlap: int) -> list[str]:
         end = _nearest(text, begin, aim, min(overlap, aim - begin))
         if end <= begin or end <= last:
             end = aim
-        if text[begin:end].strip():
+        if text[begin:end].strip(WHITE):
             chunks.append(_text(text[begin:end]))
         last = end
         if end >= len(text):
@@ -114,14 +117,14 @@ def _nearest(text: str, begin: int, aim: int, reach: int) -> int:
     if (at := max(text.rfind(c, low, aim) for c in "。！？")) >= 0:
         return at + 1
     for at in range(aim - 1, low - 1, -1):
-        if text[at] in ".!?" and (at + 1 >= len(text) or text[at + 1].isspace()):
+        if text[at] in ".!?" and (at + 1 >= len(text) or text[at + 1] in WHITE):
             return at + 1
     return aim
 
 
 _LINES = re.compile(r"[^\n]*(?:\n|\Z)")
 _FENCE = re.compile(r"```")
-_ALONE = re.compile(r"#{1,6}\s+.*|!\[[^\]]*\]\([^)]+\)(?:\s*\"[^\"]*\")?\s*|\[[^\]]+\]\([^)]+\)\s*")
+_ALONE = re.compile(r"#{1,6}\s+.*|!\[[^\]]*\]\([^)]+\)(?:\s*\"[^\"]*\")?\s*|\[[^\]]+\]\([^)]+\)\s*", re.A)
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
@@ -131,7 +134,7 @@ def blocks(text: str) -> list[tuple[int, int]]:
     for line in _LINES.finditer(text):
         if line.end() == line.start():
             break
-        bare = line[0].rstrip()
+        bare = line[0].rstrip(WHITE)
         if fenced:
             if _FENCE.match(bare):
                 found[-1][1], fenced = line.end(), False
@@ -157,7 +160,7 @@ def blocks(text: str) -> list[tuple[int, int]]:
 
 def structured(text: str | None, target: int, overlap: int, most: int, least: int) -> list[str]:
     """Whole blocks packed up to ``most``; a chunk below ``least`` takes one block more, and a small last one joins the one before."""
-    if not text or not text.strip():
+    if not text or not text.strip(NOTHING):
         return []
     text = _units(text.replace("\r\n", "\n").replace("\r", "\n"))
     parts = blocks(text)

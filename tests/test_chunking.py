@@ -93,3 +93,9 @@ def test_fixed_no_overlap_query(spark, duck):
         want |= {(doc, i, hashlib.md5(x.encode()).hexdigest()) for i, x in enumerate(solid)}
         differ += rejoined(text) != text.replace("\r", "")
     assert differ and {tuple(r) for r in texts.QUERIES["chunk_fixed_no_overlap"](spark, DATA).collect()} == want
+
+
+def test_white_space_is_that_of_the_fixed_set():
+    assert c.fixed("\xa0", 5, 0) == ["\xa0"] and c.fixed("　 \x1c", 5, 0) == []
+    assert c.structured("\xa0﻿", 10, 0, 20, 0) == []
+    assert c.fixed("aaaa.\xa0bbbb", 8, 4)[0] == "aaaa.\xa0bb" and c.fixed("aaaa. bbbb", 8, 4)[0] == "aaaa."
