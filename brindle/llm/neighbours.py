@@ -6,8 +6,9 @@
    hashing; for larger collections by a second, partial rotation too). A bucket of more than BLOCK vectors is split in
    SPLITS independent ways by what its vectors have besides their mean, in further rotations, until each cell fits
    (after LEVELS levels by id: then its vectors differ by no more than the bytes can tell); each cell is compared in full.
-3. Rounds: neighbours of a vector, and vectors it is a neighbour of, are proposed to each other; the best ``width`` per
-   vector stay; only pairs with a new link are tried. The rounds end when few links change.
+3. Rounds: neighbours of a vector, and vectors it is a neighbour of, are proposed to each other where they stand together; what is
+   better than the worst link of one is sent to it, and its best ``width`` stay; only pairs with a new link are tried. The rounds end
+   when few links change.
 4. The links are measured exactly on the original vectors.
 
 Lists are bounded by the method (``width`` links, as many reverse links, the closest ones). With ``floor``, links of lower cosine
@@ -22,15 +23,17 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import keep
+from ..session import counted, drop, keep
 
-DIM, TABLES, BLOCK, LIMIT, ROUNDS, SEED = 64, 8, 4096, 5, 6, 20_011
+DIM, TABLES, BLOCK, LIMIT, ROUNDS, SEED = 64, 8, 4096, 5, 12, 20_011
 #: Mean size of a bucket from which a second rotation splits it.
 BUCKET = 2048
 SPLITS, LEVELS = 6, 6
+#: Links per vector and tables of the start where there is no floor: the rounds find what few tables don't.
+WIDTH, START = 24, 4
 
 
 def _vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -253,38 +256,70 @@ def _best(links: DataFrame, width: int) -> DataFrame:
     return one.withColumn("_r", rank).where(F.col("_r") <= width).drop("_r")
 
 
-def _measured(pairs: DataFrame, points: DataFrame, dim: int) -> DataFrame:
-    """Pairs (a, b) with their similarity on the reduced directions, both ways as links."""
+def _tried(around: DataFrame, floor: float | None, dim: int) -> DataFrame:
+    """Links (src, dst, sim) between the neighbours (n, dst, new, worst, q) of each n: of pairs with a new neighbour those that are
+    better than the worst link that ``src`` has. The neighbours of one n, at most twice the width, stand together."""
+    least = -2.0 if floor is None else floor
+
+    def compare(batches):
+        held = None
+
+        def block(part):
+            n, dst, new, worst = (part.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            matrix, (src, to, sims) = _matrix(part.column(4), dim), ([], [], [])
+            edges = np.flatnonzero(n[1:] != n[:-1]) + 1
+            for low, high in zip([0, *edges.tolist()], [*edges.tolist(), len(n)], strict=True):
+                fresh = new[low:high] > 0
+                if high - low < 2 or not fresh.any():
+                    continue
+                s = matrix[low:high] @ matrix[low:high].T
+                good = (s > np.maximum(worst[low:high], least - 1e-9)[:, None]) & (fresh[:, None] | fresh[None, :])
+                np.fill_diagonal(good, False)
+                i, j = np.nonzero(good)
+                if len(i):
+                    src.append(dst[low + i])
+                    to.append(dst[low + j])
+                    sims.append(s[i, j])
+            if src:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(to)), pa.array(np.concatenate(sims).astype(np.float32))], names=["src", "dst", "sim"])
 
-    def dot(batches):
         for batch in batches:
-            if batch.num_rows:
-                s = (_matrix(batch.column(2), dim) * _matrix(batch.column(3), dim)).sum(axis=1).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], names=["src", "dst", "sim"])
+            if not batch.num_rows:
+                continue
+            whole = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+            n = whole.column(0).to_numpy(zero_copy_only=False)
+            last = int(np.searchsorted(n, n[-1]))  # the last n may go on in the next batch
+            yield from block(whole.slice(0, last)) if last else ()
+            held = whole.slice(last)
+        if held is not None:
+            yield from block(held)
 
-    both = pairs.join(points.select(F.col("id").alias("a"), F.col("q").alias("qa")), "a").join(points.select(F.col("id").alias("b"), F.col("q").alias("qb")), "b")
-    one = both.select("a", "b", "qa", "qb").mapInArrow(dot, LINK)
-    return one.select(F.explode(F.array(F.struct("src", "dst", "sim"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim"))).alias("l")).select("l.*")
+    rows = around.select("n", "dst", "new", "worst", "q").repartition("n").sortWithinPartitions("n")
+    return rows.mapInArrow(compare, "src bigint, dst bigint, sim float")
 
 
 def descend(points: DataFrame, width: int, floor: float | None = None, dim: int = DIM, tables: int = TABLES, rounds: int = ROUNDS, change: float = 0.001) -> DataFrame:
-    """The neighbour graph (src, dst, sim, new) of the points (id, q), ids unique."""
-    count = points.count()
-    graph = keep(_best(start(points, count, width, floor, dim, tables).withColumn("new", F.lit(1)), width), "graph")
+    """The neighbour graph (src, dst, sim, new) of the points (id, q), ids unique. ``rounds`` bounds the rounds, which end earlier when
+    less than ``change`` of the links are new."""
+    numbered = keep(points.select(F.monotonically_increasing_id().alias("n"), "id", "q"), "points")
+    count = numbered.count()
+    begun = start(numbered.select(F.col("n").cast("string").alias("id"), "q"), count, width, floor, dim, tables)
+    begun = begun.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), "sim").withColumn("new", F.lit(1))
+    graph = keep(_best(begun, width), "graph")
     for _ in range(rounds):
+        worst = graph.groupBy(F.col("src").alias("dst")).agg(F.when(F.count("*") >= width, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
         back = graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim", "new")
         near = F.row_number().over(Window.partitionBy("src").orderBy(F.col("sim").desc(), "dst"))
         both = graph.unionByName(back.withColumn("_r", near).where(F.col("_r") <= width).drop("_r")).groupBy("src", "dst").agg(F.max("new").alias("new"))
-        x, y = both.select("src", F.col("dst").alias("a"), F.col("new").alias("na")), both.select("src", F.col("dst").alias("b"), F.col("new").alias("nb"))
-        pairs = x.join(y, "src").where("a < b and na + nb > 0").select("a", "b").distinct()
-        pairs = pairs.join(graph.select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_anti")
-        fresh = _measured(pairs, points, dim)
-        if floor is not None:
-            fresh = fresh.where(F.col("sim") >= floor)
-        graph = keep(_best(graph.withColumn("new", F.lit(0)).unionByName(fresh.withColumn("new", F.lit(1))), width), "graph")
-        if graph.where("new = 1").count() <= change * width * count:
+        around = both.select(F.col("src").alias("n"), "dst", "new").join(worst, "dst", "left").join(numbered.select(F.col("n").alias("dst"), "q"), "dst").withColumn("worst", F.coalesce("worst", F.lit(-2.0).cast("float")))
+        fresh = _tried(around, floor, dim).groupBy("src", "dst").agg(F.max("sim").alias("sim")).join(graph.select("src", "dst"), ["src", "dst"], "left_anti")
+        grown, seen = counted(_best(graph.withColumn("new", F.lit(0)).unionByName(fresh.withColumn("new", F.lit(1))), width), "graph", new=F.count_if(F.col("new") == 1))
+        drop(graph)
+        graph = grown
+        if seen.new <= change * width * count:
             break
-    return graph
+    names = numbered.select("n", "id")
+    return graph.join(names.select(F.col("n").alias("src"), F.col("id").alias("_a")), "src").join(names.select(F.col("n").alias("dst"), F.col("id").alias("_b")), "dst").select(F.col("_a").alias("src"), F.col("_b").alias("dst"), "sim", "new")
 
 
 def exact(links: DataFrame, vectors: DataFrame, dim: int = DIM) -> DataFrame:
@@ -307,7 +342,7 @@ def exact(links: DataFrame, vectors: DataFrame, dim: int = DIM) -> DataFrame:
     return one.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), "cosine"), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), "cosine"))).alias("l")).select("l.*")
 
 
-def nearest(vectors: DataFrame, k: int = LIMIT, least: float | None = None, dim: int = DIM, tables: int = TABLES, slack: float = 0.15) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = LIMIT, least: float | None = None, dim: int = DIM, tables: int = TABLES, slack: float = 0.15, width: int | None = None) -> DataFrame:
     """(src, dst, cosine, rank): the k most similar vectors of each, ties by id; with ``least`` only those of at least that cosine.
 
     Vectors count once per id; null, zero, non-finite and other-length vectors have no neighbours. Links below least - slack are
@@ -317,7 +352,7 @@ def nearest(vectors: DataFrame, k: int = LIMIT, least: float | None = None, dim:
     order = F.row_number().over(Window.partitionBy("same").orderBy("id"))
     chosen = keep(seen.withColumn("_r", order).where(F.col("_r") <= k + 1), "representatives")
     points = chosen.select("id", "q").dropDuplicates(["id"])
-    graph = descend(points, 2 * k, None if least is None else least - slack, dim, tables)
+    graph = descend(points, width or 2 * k, None if least is None else least - slack, dim, tables)
     links = graph.select("src", "dst") if least is None else graph.where(F.col("sim") >= least - 0.02).select("src", "dst")
     scored = exact(links, vectors, dim)
     if least is not None:
@@ -335,6 +370,13 @@ def found(vectors: DataFrame, k: int = LIMIT, least: float = 0.9, dim: int = DIM
     return nearest(vectors, k, least, dim).select(F.least("src", "dst").alias("id_a"), F.greatest("src", "dst").alias("id_b")).distinct()
 
 
+def of_queries(vectors: DataFrame, k: int = LIMIT, width: int = WIDTH, part: int = 100, dim: int = DIM) -> DataFrame:
+    """(id, other, cosine, rank): the k most similar vectors of those whose id, a number, is divisible by ``part``, out of the graph of
+    all vectors."""
+    rows = nearest(vectors, k, None, dim, START, width=width)
+    return rows.where(F.expr(f"try_cast(src as decimal(38, 0)) % {part} = 0")).select(F.col("src").alias("id"), F.col("dst").alias("other"), "cosine", "rank")
+
+
 def search(graph: DataFrame, points: DataFrame, queries: DataFrame, k: int = LIMIT, beam: int = 32, entries: int = 256, steps: int = 8, dim: int = DIM) -> DataFrame:
     """(query, id, sim, rank): greedy search of all queries (query, q) together over a graph (src, dst) of the points (id, q).
 
@@ -364,3 +406,13 @@ def search(graph: DataFrame, points: DataFrame, queries: DataFrame, k: int = LIM
         if not state.where("open = 1").count():
             break
     return state.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query", "id", "sim", "rank")
+
+
+def searched(vectors: DataFrame, asked: Column, k: int = LIMIT, width: int = WIDTH, dim: int = DIM) -> DataFrame:
+    """(id, other, sim, rank): for the vectors that ``asked`` holds for the k most similar others, found by ``search`` in the graph of
+    all vectors."""
+    points = keep(directions(vectors, dim).groupBy("id").agg(F.first("q").alias("q")), "points")
+    graph = keep(descend(points, width, None, dim, START).select("src", "dst"), "searched")
+    found = search(graph, points, points.where(asked).withColumnRenamed("id", "query"), k + 1, dim=dim).where("query <> id")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("sim").desc(), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query").alias("id"), F.col("id").alias("other"), F.round("sim", 4).alias("sim"), "rank")

@@ -49,6 +49,17 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.found(table(spark, folder, "t_knowledge_vector", "id", "embedding"))
 
 
+def p6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five most similar vectors of every vector whose id is divisible by 100, out of the graph of all."""
+    return neighbours.of_queries(table(spark, folder, "t_knowledge_vector", "id", "embedding"))
+
+
+def p6_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The five most similar vectors to the same queries by greedy search of the graph."""
+    vectors = table(spark, folder, "t_knowledge_vector", "id", "embedding")
+    return neighbours.searched(vectors, F.expr("try_cast(id as decimal(38, 0)) % 100 = 0"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.found(table(spark, folder, "t_message", *MESSAGE), table(spark, folder, "t_conversation", "conversation_id", "deleted"))
 
@@ -73,4 +84,4 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return spans.found(table(spark, folder, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p5_found, p5_percentiles, p5_bounds, p6_found, p7_found, p7_conversations, p8_ids, p9_found, p9_alignments, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p5_found, p5_percentiles, p5_bounds, p6_found, p6_neighbours, p6_search, p7_found, p7_conversations, p8_ids, p9_found, p9_alignments, p10_found)}
