@@ -33,7 +33,7 @@ DIM, TABLES, BLOCK, LIMIT, ROUNDS, SEED = 64, 8, 4096, 5, 12, 20_011
 BUCKET = 2048
 SPLITS, LEVELS = 6, 6
 #: Links per vector and tables of the start where there is no floor: the rounds find what few tables don't.
-WIDTH, START = 24, 4
+WIDTH, START = 28, 8
 
 
 def _vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
